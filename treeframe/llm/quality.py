@@ -21,7 +21,7 @@ from treeframe.llm.common import SPACE_RUN, SPACES, materialize, table, trimmed,
 SYMBOLS = "#*$%&|<>"
 GAMMA = 1.05
 #: metric: floor of its threshold (per thousand words, lines or words; hundredths of a character for word_length)
-FLOORS = {"symbols": 100, "shouts": 200, "dup_lines": 300, "repeats": 200, "word_length": 1200}
+FLOORS = {"symbols": 100, "shouts": 200, "dup_lines": 500, "repeats": 200, "word_length": 1200}
 SPREAD = 6
 MIN_DOCS = 200
 
