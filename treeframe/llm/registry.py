@@ -1,6 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from treeframe.llm import quality
+from treeframe.llm import chat, licenses, mixing, quality, simhash
 
-QUERIES = {"op3_quality": quality.op3_quality}
-SQL = {"op3_quality": quality.SQL}
+QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_quality": quality.op3_quality,
+    "op6_chat": chat.op6_chat,
+    "op10_mixing": mixing.op10_mixing,
+}
+SQL = {"op3_quality": quality.SQL, "op6_chat": chat.SQL, "op10_mixing": mixing.SQL}
