@@ -1,12 +1,15 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from treeframe.llm import chat, licenses, mixing, quality, simhash
+from treeframe.llm import chat, extraction, licenses, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
+    "op4_warc": warc.op4_warc,
     "op6_chat": chat.op6_chat,
+    "op8_packing": packing.op8_packing,
+    "op9_extraction": extraction.op9_extraction,
     "op10_mixing": mixing.op10_mixing,
 }
 SQL = {"op3_quality": quality.SQL, "op6_chat": chat.SQL, "op10_mixing": mixing.SQL}
