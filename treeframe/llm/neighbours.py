@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from treeframe.llm.common import materialize, table
 
-PIVOTS, PREFIX, SHARE, SAMPLE, LEAST = 256, 64, 0.3, 4096, 1000
+PIVOTS, PREFIX, SHARE, SAMPLE, LEAST = 256, 64, 0.4, 4096, 1000
 
 
 def usable(vector: Column) -> Column:
