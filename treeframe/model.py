@@ -25,6 +25,7 @@ FIELDS = {
     "sval": "string",
     "attrs": f"array<{ATTRIBUTE}>",
     "nsmap": "map<string,string>",
+    "nsown": "map<string,string>",
     "anc": "array<int>",
     "path": "string",
     "lang": "string",

@@ -8,7 +8,7 @@ XML_NS = "http://www.w3.org/XML/1998/namespace"
 class Tree:
     """Builds the rows of one document from events. Rows are lists, in the order of model.FIELDS."""
 
-    PRE, LAST, PARENT, LEVEL, SIB, KIND, PREFIX, LOCAL, NS, VALUE, SVAL, ATTRS, NSMAP, ANC, PATH, LANG, LINE, COL = range(18)
+    PRE, LAST, PARENT, LEVEL, SIB, KIND, PREFIX, LOCAL, NS, VALUE, SVAL, ATTRS, NSMAP, NSOWN, ANC, PATH, LANG, LINE, COL = range(19)
 
     def __init__(self) -> None:
         self.rows: list[list] = []
@@ -26,7 +26,7 @@ class Tree:
     def _add(self, kind: str, prefix: str | None, local: str | None, ns: str | None, value: str | None, at: tuple[int, int]) -> list:
         up = self.open[-1] if self.open else None
         n = len(self.rows)
-        row = [n, n, up[0] if up else None, up[3] + 1 if up else 0, self.children[-1] if up else 0, kind, prefix, local, ns, value, value, None, None, [*up[13], up[0]] if up else [], up[14] if up else "", up[15] if up else None, *at]
+        row = [n, n, up[0] if up else None, up[3] + 1 if up else 0, self.children[-1] if up else 0, kind, prefix, local, ns, value, value, None, None, None, [*up[self.ANC], up[0]] if up else [], up[self.PATH] if up else "", up[self.LANG] if up else None, *at]
         if up:
             self.children[-1] += 1
         self.rows.append(row)
@@ -35,12 +35,14 @@ class Tree:
     def start(self, prefix: str, local: str, ns: str, attrs: list[tuple[str, str, str, str]], nsmap: dict[str, str] | None, at: tuple[int, int]) -> None:
         row = self._add("element", prefix, local, ns, None, at)
         row[self.ATTRS] = attrs
-        row[self.NSMAP] = nsmap if nsmap is not None else self.open[-1][self.NSMAP]
+        above = self.open[-1][self.NSMAP] or {}
+        row[self.NSMAP] = nsmap if nsmap is not None else above or None
+        # bindings that differ from the parent's
+        row[self.NSOWN] = {k: v for k, v in (nsmap or {}).items() if above.get(k, "") != v and k != "xml"}
         row[self.PATH] += f"/{prefix}:{local}" if prefix else f"/{local}"
         for p, name, _, value in attrs:
-            if name == "lang" and p in ("xml", ""):
-                if p == "xml":
-                    row[self.LANG] = value
+            if name == "lang" and p == "xml":
+                row[self.LANG] = value
         self._push(row)
 
     def end(self) -> None:
