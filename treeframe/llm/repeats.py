@@ -284,49 +284,50 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + LENGTH).tolist(), strict=True))
 
 
-def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """A partition of segments to marks: d, sig, a, b (bytes a to b go)."""
     by: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
+    out: list[tuple[int, int, int, int]] = []
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["_d", "sig", "a", "b"])
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["_d", "sig", "a", "b"])
+        out.clear()
+        return made
 
     for b in batches:
-        known = []
         for _, h, d, sig, start, n, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if seg is None:
-                known.append((d, sig, start, start + n + LENGTH - 1))
+                out.append((d, sig, start, start + n + LENGTH - 1))
             else:
                 by.setdefault(h, {}).setdefault(seg, []).append((d, sig, start))
-        if known:
-            yield batch(known)
+        if len(out) >= rows:
+            yield flush()
     some: list[tuple[list[bytes], list[int]]] = []
     held: dict[bytes, list[tuple[int, int, int]]] = {}
     size = 0
 
-    def matched() -> list[tuple]:
-        out = []
+    def matched() -> None:
         for seg, starts in _marked(some):
             least = min(x[0] for x in held[seg])
             for a, e in _spans(starts):
-                out += [(d, sig, start + a, start + e) for d, sig, start in held[seg] if d == least]
-        return out
+                out.extend((d, sig, start + a, start + e) for d, sig, start in held[seg] if d == least)
 
     for segs in by.values():
         least = {s: min(x[0] for x in v) for s, v in segs.items()}
-        rows = [(d, sig, start, start + len(s)) for s, v in segs.items() for d, sig, start in v if d > least[s]]
-        if rows:
-            yield batch(rows)
+        out += [(d, sig, start, start + len(s)) for s, v in segs.items() for d, sig, start in v if d > least[s]]
         if len(segs) > 1 and len(set(least.values())) > 1:
             some.append((list(segs), list(least.values())))
             held.update(segs)
             size += sum(map(len, segs))
             if size >= block:
-                if rows := matched():
-                    yield batch(rows)
+                matched()
                 some, held, size = [], {}, 0
-    if some and (rows := matched()):
-        yield batch(rows)
+        if len(out) >= rows:
+            yield flush()
+    if some:
+        matched()
+    if out:
+        yield flush()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
