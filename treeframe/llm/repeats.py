@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,27 +147,34 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            ids, sigs, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), _bytes(part, 2)
+            ids, sigs, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), _bytes(part, 2)
             shared = [np.unique(np.frombuffer(b"".join(x), np.int64)) for x in part.column(3).to_pylist()]
-            rows: list[tuple] = []
+            found: list[tuple[np.ndarray, ...]] = []
             for own, start, count, h in runs(texts):
                 h = h.view(np.int64)
                 edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
+                near = np.zeros(len(h), bool)
                 for a, e in zip(edges, edges[1:], strict=False):
-                    i = int(own[a])
-                    s = shared[i]
-                    if not len(s):
-                        continue
-                    near = s[np.minimum(np.searchsorted(s, h[a:e]), len(s) - 1)] == h[a:e]
-                    rows += [(k, ids[i], sigs[i], x, c, texts[i][x : x + c + LENGTH - 1]) for k, x, c in zip(h[a:e][near].tolist(), start[a:e][near].tolist(), count[a:e][near].tolist(), strict=True)]
-            least: dict[bytes, int] = {}
-            for r in rows:
-                least[r[5]] = min(r[1], least.get(r[5], r[1]))
-            out = [(k, k, d, sig, x, c, seg) if d == least[seg] else (d, k, d, sig, x, c, None) for k, d, sig, x, c, seg in rows]
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "h", "d", "sig", "start", "n", "seg"])
+                    if len(s := shared[own[a]]):
+                        near[a:e] = s[np.minimum(np.searchsorted(s, h[a:e]), len(s) - 1)] == h[a:e]
+                found.append((own[near], start[near], count[near], h[near]))
+            if not found:
+                continue
+            own, start, count, h = (np.concatenate(c) for c in zip(*found, strict=True))
+            if not len(own):
+                continue
+            segs = pa.array([texts[i][x:e] for i, x, e in zip(own.tolist(), start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)], pa.binary())
+            code, d = segs.dictionary_encode().indices.to_numpy(), ids[own]
+            known = d > _least(code, d)[code]
+            segs = pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), segs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, d, h)), pa.array(h), pa.array(d), pa.array(sigs[own]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), segs], names=["key", "h", "d", "sig", "start", "n", "seg"])
+
+
+def _least(code: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The least d of each code."""
+    out = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, code, d)
+    return out
 
 
 class RunIndex:
@@ -259,9 +267,8 @@ class RunIndex:
         return self.least[np.searchsorted(self.begin, row, "right") - 1]
 
 
-def _marked(groups: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes, np.ndarray]]:
-    """groups: different segments with one anchor and the least document of each. A segment's starts whose string a smaller document has."""
-    strings, owner = [s for g in groups for s in g[0]], np.array([d for g in groups for d in g[1]], np.int64)
+def _marked(strings: list[bytes], owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """strings: different segments, of which owner is the least document. (segment, its starts whose string a smaller document has)."""
     index = RunIndex(strings, owner)
     end = index.ends - 1
     begin = end - np.array([len(s) for s in strings])
@@ -275,7 +282,7 @@ def _marked(groups: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bytes
     who, start = who[order], start[order]
     edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else []
     for a, e in zip(edges, edges[1:], strict=False):
-        yield strings[who[a]], start[a:e]
+        yield int(who[a]), start[a:e]
 
 
 def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -284,50 +291,56 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + LENGTH).tolist(), strict=True))
 
 
-def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
-    """A partition of segments to marks: d, sig, a, b (bytes a to b go)."""
-    by: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-    out: list[tuple[int, int, int, int]] = []
+def _marks(d: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, sig, a, b)], names=["_d", "sig", "a", "b"])
 
-    def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["_d", "sig", "a", "b"])
-        out.clear()
-        return made
 
+def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A partition of segments to marks: d, sig, a, b (bytes a to b go)."""
+    sent: list[pa.RecordBatch] = []
     for b in batches:
-        for _, h, d, sig, start, n, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if seg is None:
-                out.append((d, sig, start, start + n + LENGTH - 1))
-            else:
-                by.setdefault(h, {}).setdefault(seg, []).append((d, sig, start))
-        if len(out) >= rows:
-            yield flush()
-    some: list[tuple[list[bytes], list[int]]] = []
-    held: dict[bytes, list[tuple[int, int, int]]] = {}
+        d, sig, start, n = (b.column(i).to_numpy() for i in (2, 3, 4, 5))
+        known = b.column(6).is_null().to_numpy(zero_copy_only=False)
+        if known.any():
+            yield _marks(d[known], sig[known], start[known], start[known] + n[known] + LENGTH - 1)
+        if not known.all():
+            sent.append(b.filter(pa.array(~known)))
+    if not sent:
+        return
+    t = pa.Table.from_batches(sent)
+    h, d, sig, start, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5))
+    encoded = t.column(6).combine_chunks().dictionary_encode()
+    code, texts = encoded.indices.to_numpy(), encoded.dictionary
+    least = _least(code, d)
+    # equal segments: all but those of the least document go whole
+    whole = d > least[code]
+    if whole.any():
+        yield _marks(d[whole], sig[whole], start[whole], start[whole] + n[whole] + LENGTH - 1)
+    # an anchor with different segments, not all of one document, needs the index
+    anchor = np.zeros(len(texts), np.int64)
+    anchor[code] = h
+    order = np.argsort(anchor, kind="stable")
+    edges = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+    apart = np.minimum.reduceat(least[order], edges) < np.maximum.reduceat(least[order], edges)
+    groups = [order[a:e] for a, e, x in zip(edges, np.r_[edges[1:], len(order)], apart, strict=True) if x]
+    mine = np.flatnonzero(~whole)
+    mine = mine[np.argsort(code[mine], kind="stable")]
+    of = np.searchsorted(code[mine], np.arange(len(texts) + 1))  # rows of the least document, by segment
+    some: list[np.ndarray] = []
     size = 0
-
-    def matched() -> None:
-        for seg, starts in _marked(some):
-            least = min(x[0] for x in held[seg])
-            for a, e in _spans(starts):
-                out.extend((d, sig, start + a, start + e) for d, sig, start in held[seg] if d == least)
-
-    for segs in by.values():
-        least = {s: min(x[0] for x in v) for s, v in segs.items()}
-        out += [(d, sig, start, start + len(s)) for s, v in segs.items() for d, sig, start in v if d > least[s]]
-        if len(segs) > 1 and len(set(least.values())) > 1:
-            some.append((list(segs), list(least.values())))
-            held.update(segs)
-            size += sum(map(len, segs))
-            if size >= block:
-                matched()
-                some, held, size = [], {}, 0
-        if len(out) >= rows:
-            yield flush()
-    if some:
-        matched()
-    if out:
-        yield flush()
+    for i, g in enumerate(groups):
+        some.append(g)
+        size += len(g)
+        if size * (LENGTH + W) >= block or i == len(groups) - 1:
+            codes = np.concatenate(some)
+            out = []
+            for k, starts in _marked(texts.take(pa.array(codes)).to_pylist(), least[codes]):
+                rows = mine[of[codes[k]] : of[codes[k] + 1]]
+                out += [(rows, np.full(len(rows), a), np.full(len(rows), e)) for a, e in _spans(starts)]
+            if out:
+                rows, a, e = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield _marks(d[rows], sig[rows], start[rows] + a, start[rows] + e)
+            some, size = [], 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
