@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeframe.functions import datatypes as D
-from treeframe.operators import emit, identity, patterns, schematron, validation, xpointer
+from treeframe.operators import catalogs, emit, identity, patterns, schematron, trees, validation, xinclude, xpointer, xsd
+from treeframe.plans import relaxng, xslt
 from treeframe.sources import shred, store
 from treeframe.xpath import evaluate, select
 
@@ -293,3 +294,76 @@ def read_faults(spark, sf_dir):
 def pull_events(spark, sf_dir):
     nodes = streamed_orders(spark, sf_dir, ["pre", "last", "level", "kind", "prefix", "local", "ns", "attrs", "value"])
     return shred.events(nodes).where("type IN ('startElement', 'endElement')").groupBy("doc_id").agg(F.count("*").alias("tags"))
+
+
+# schemas and stylesheets
+
+_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="order"><xs:complexType><xs:sequence><xs:element name="line" maxOccurs="unbounded" type="Line"/></xs:sequence>
+<xs:attribute name="cust" type="xs:nonNegativeInteger" use="required"/><xs:attribute name="key" type="xs:nonNegativeInteger" use="required"/><xs:attribute name="status" type="Flag"/><xs:attribute name="total" type="xs:integer"/></xs:complexType></xs:element>
+<xs:simpleType name="Flag"><xs:restriction base="xs:string"><xs:length value="1"/><xs:pattern value="[A-Z]"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="Quantity"><xs:restriction base="xs:int"><xs:maxInclusive value="45"/></xs:restriction></xs:simpleType>
+<xs:complexType name="Line"><xs:attribute name="flag" type="Flag"/><xs:attribute name="n" type="xs:int"/><xs:attribute name="part" type="xs:long"/><xs:attribute name="price" type="xs:long"/><xs:attribute name="qty" type="Quantity"/></xs:complexType></xs:schema>"""
+
+
+@query(_ROWS + "SELECT doc_id, 'xsd-attribute-value' AS rule, count(*) AS n FROM l WHERE qty > 45 GROUP BY doc_id UNION ALL SELECT o_orderkey, 'xsd-content', 1 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def xsd_findings(spark, sf_dir):
+    nodes = orders(spark, sf_dir, ["pre", "last", "parent", "sib", "level", "kind", "prefix", "local", "value", "sval", "attrs", "anc", "path", "line", "col"])
+    return xsd.Schema(_XSD).validate(nodes).groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+_RNG = """<element name="order" xmlns="http://relaxng.org/ns/structure/1.0" datatypeLibrary="http://www.w3.org/2001/XMLSchema-datatypes"><attribute name="cust"/><attribute name="key"/><attribute name="status"/><attribute name="total"/>
+<oneOrMore><element name="line"><attribute name="flag"><choice><value>A</value><value>N</value><value>R</value></choice></attribute><attribute name="n"/><attribute name="part"/><attribute name="price"/><attribute name="qty"><data type="int"><param name="maxInclusive">45</param></data></attribute></element></oneOrMore></element>"""
+
+
+@query(_ROWS + "SELECT o_orderkey AS doc_id, count(n) > 0 AND coalesce(max(qty), 0) <= 45 AS valid FROM orders LEFT JOIN l ON o_orderkey = doc_id GROUP BY o_orderkey")
+def relaxng_verdicts(spark, sf_dir):
+    return relaxng.validate(order_xml(spark, sf_dir), _RNG).select("doc_id", "valid")
+
+
+_XSL = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:output method="text"/>
+<xsl:template match="/order"><xsl:value-of select="@key"/>:<xsl:apply-templates select="line[@qty &gt; 20]"><xsl:sort select="@qty" data-type="number" order="descending"/></xsl:apply-templates></xsl:template>
+<xsl:template match="line"><xsl:if test="position() &gt; 1">,</xsl:if><xsl:value-of select="concat(@part, '/', format-number(@price div 100, '0.00'))"/></xsl:template></xsl:stylesheet>"""
+
+
+@query(_ROWS + "SELECT o_orderkey AS doc_id, o_orderkey || ':' || coalesce(string_agg(part || '/' || (price // 100) || '.' || lpad((price % 100)::VARCHAR, 2, '0'), ',' ORDER BY qty DESC, pos) FILTER (qty > 20), '') AS output FROM orders LEFT JOIN l ON o_orderkey = doc_id GROUP BY o_orderkey")
+def xslt_sorted_text(spark, sf_dir):
+    return xslt.transform(order_xml(spark, sf_dir), _XSL).select("doc_id", "output")
+
+
+_GROUPS = """<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:output omit-xml-declaration="yes"/><xsl:key name="f" match="line" use="@flag"/>
+<xsl:template match="/"><flags><xsl:for-each select="//line[generate-id() = generate-id(key('f', @flag)[1])]"><xsl:sort select="@flag"/><flag name="{@flag}" qty="{sum(key('f', @flag)/@qty)}"/></xsl:for-each></flags></xsl:template></xsl:stylesheet>"""
+
+
+@query(_ROWS + ", g AS (SELECT doc_id, flag, sum(qty)::BIGINT AS q FROM l GROUP BY doc_id, flag) SELECT o_orderkey AS doc_id, CASE WHEN count(flag) = 0 THEN '<flags/>' ELSE '<flags>' || string_agg('<flag name=\"' || flag || '\" qty=\"' || q || '\"/>', '' ORDER BY flag) || '</flags>' END AS output FROM orders LEFT JOIN g ON o_orderkey = doc_id GROUP BY o_orderkey")
+def xslt_grouping(spark, sf_dir):
+    return xslt.transform(order_xml(spark, sf_dir), _GROUPS).select("doc_id", "output")
+
+
+@query("SELECT n_nationkey::BIGINT AS doc_id, '<nation>' || r_name || '&lt;' || n_name || '</nation>' AS xml FROM nation JOIN region ON n_regionkey = r_regionkey")
+def xinclude_regions(spark, sf_dir):
+    """Nations include their region's name and their own as text resources."""
+    rows = table(spark, sf_dir, "nation")
+    inc = lambda c: F.concat(F.lit('<xi:include parse="text" href="'), c, F.lit('"/>'))
+    docs = rows.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit('<nation xmlns:xi="http://www.w3.org/2001/XInclude">'), inc(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))), inc(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))), F.lit("</nation>")).alias("xml"), F.lit("http://x/d").alias("uri"))
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("http://x/r"), F.col("r_regionkey").cast("string")).alias("uri"), F.col("r_name").alias("content"))
+    nations = rows.select(F.concat(F.lit("http://x/n"), F.col("n_nationkey").cast("string")).alias("uri"), F.concat(F.lit("<"), "n_name").alias("content"))
+    out = xinclude.include(docs, regions.unionByName(nations))
+    return out.select("doc_id", F.replace("xml", F.lit(' xmlns:xi="http://www.w3.org/2001/XInclude"'), F.lit("")).alias("xml"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'http://local/exact' WHEN p_partkey % 4 = 1 THEN 'http://local/brand/' || replace(p_brand, 'Brand#', '') WHEN p_partkey % 4 = 2 THEN 'http://local/any.dtd' END AS target FROM part")
+def catalog_resolution(spark, sf_dir):
+    entries = catalogs.parse_oasis("""<catalog xmlns="urn:oasis:names:tc:entity:xmlns:xml:catalog" xml:base="http://local/"><public publicId="-//P//EN" uri="exact"/><rewriteSystem systemIdStartString="http://far/" rewritePrefix="all/"/>
+<rewriteSystem systemIdStartString="http://far/Brand#" rewritePrefix="brand/"/><systemSuffix systemIdSuffix=".dtd" uri="any.dtd"/></catalog>""")
+    k, null = F.col("p_partkey") % 4, F.lit(None).cast("string")
+    system = F.when(k == 1, F.concat(F.lit("http://far/"), "p_brand")).when(k == 2, F.concat(F.lit("urn:"), F.col("p_partkey").cast("string"), F.lit(".dtd"))).when(k == 3, "http://none/")
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(k == 0, " -//P//EN ").alias("public"), system.alias("system"), null.alias("uri"))
+    return catalogs.resolve_identifiers(ids, catalogs.rules(spark, entries)).select("id", "target")
+
+
+@query(_ROWS + "SELECT doc_id, string_agg(part, ',' ORDER BY pos) AS parts FROM l WHERE flag <> 'N' GROUP BY doc_id")
+def tree_removal(spark, sf_dir):
+    nodes = orders(spark, sf_dir)
+    kept = trees.remove(nodes, (F.col("local") == "line") & F.exists("attrs", lambda a: (a["local"] == "flag") & (a["value"] == "N")))
+    lines = select(kept, "/order/line/@part")
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), ",").alias("parts"))
