@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,9 +32,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/treeframe/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _collect(spark: SparkSession) -> None:
+    """Spark removes the shuffle files behind finished tables once the driver's garbage is collected; with a small heap that may be late."""
+    gc.collect()
+    spark.range(1).count()  # what the last job holds is let go by the next
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -113,16 +113,21 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = ~(head & np.r_[head[1:], True])
         known_h, known_d = h[several], d[several]
         h, d = h[head], d[head]
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[h, known_d * np.int64(0x5851F42D4C957F2D)]), pa.array(np.r_[h, known_h]), pa.array(np.r_[d, known_d]), pa.array(np.r_[np.zeros(len(h), bool), np.ones(len(known_h), bool)])], names=["key", "h", "d", "known"])
+        # in document order, and with the hash once, rows compress well
+        key, h, known = np.r_[h, known_d * np.int64(0x5851F42D4C957F2D)], np.r_[np.zeros_like(h), known_h], np.arange(len(h) + len(known_h)) >= len(h)
+        d = np.r_[d, known_d]
+        order = np.argsort(d, kind="stable")
+        yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (key, h, d, known)], names=["key", "h", "d", "known"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All of a partition: a row for each document, with the hashes here that it shares."""
-    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns[1:]] for b in batches if b.num_rows]
+    """All of a partition: a row for each document and hash that it shares."""
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
     if not got:
         return
-    h, d, known = (np.concatenate(c) for c in zip(*got, strict=True))
+    key, h, d, known = (np.concatenate(c) for c in zip(*got, strict=True))
     del got
+    h = np.where(known, h, key)
     kept_h, kept_d = h[known], d[known]
     h, d = h[~known], d[~known]
     order = np.argsort(h, kind="stable")
@@ -133,13 +138,29 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_h, kept_d = np.r_[kept_h, h[shared]], np.r_[kept_d, d[shared]]
     order = np.argsort(kept_d, kind="stable")
     kept_h, kept_d = kept_h[order], kept_d[order]
-    at = np.flatnonzero(np.r_[True, kept_d[1:] != kept_d[:-1]]) if len(kept_d) else np.zeros(0, int)
+    for i in range(0, len(kept_d), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(kept_d[i : i + (1 << 16)]), pa.array(kept_h[i : i + (1 << 16)])], names=["_d", "_h"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All of a partition of (document, hash): a row for each document."""
+    got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not got:
+        return
+    d, h = (np.concatenate(c) for c in zip(*got, strict=True))
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])]
+    d, h = d[new], h[new]
+    at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+    ends = np.r_[at[1:], len(d)]
     for i in range(0, len(at), 4096):
-        some, ends = at[i : i + 4096], np.r_[at, len(kept_d)][i + 1 : i + 4097]
-        yield pa.RecordBatch.from_arrays([pa.array(kept_d[some]), pa.array([kept_h[a:b].tobytes() for a, b in zip(some, ends, strict=True)], pa.binary())], names=["_d", "_hs"])
+        a, e = at[i : i + 4096], ends[i : i + 4096]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[a, e[-1:]] - a[0], pa.int32()), pa.array(h[a[0] : e[-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(d[a]), lists], names=["_d", "_hs"])
 
 
-_SEGMENT = "key bigint, h bigint, d bigint, sig bigint, start int, n int, seg binary"
+_SEGMENT = "key bigint, d bigint, sig bigint, start int, n int, seg binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +169,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
             ids, sigs, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), _bytes(part, 2)
-            shared = [np.unique(np.frombuffer(b"".join(x), np.int64)) for x in part.column(3).to_pylist()]
+            hashes, cuts = part.column(3).values.to_numpy(), part.column(3).offsets.to_numpy()
+            shared = [np.unique(hashes[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
             found: list[tuple[np.ndarray, ...]] = []
             for own, start, count, h in runs(texts):
                 h = h.view(np.int64)
@@ -167,7 +189,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, d = segs.dictionary_encode().indices.to_numpy(), ids[own]
             known = d > _least(code, d)[code]
             segs = pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), segs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, d, h)), pa.array(h), pa.array(d), pa.array(sigs[own]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), segs], names=["key", "h", "d", "sig", "start", "n", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, d, h)), pa.array(d), pa.array(sigs[own]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), segs], names=["key", "d", "sig", "start", "n", "seg"])
 
 
 def _least(code: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -299,8 +321,8 @@ def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[
     """A partition of segments to marks: d, sig, a, b (bytes a to b go)."""
     sent: list[pa.RecordBatch] = []
     for b in batches:
-        d, sig, start, n = (b.column(i).to_numpy() for i in (2, 3, 4, 5))
-        known = b.column(6).is_null().to_numpy(zero_copy_only=False)
+        d, sig, start, n = (b.column(i).to_numpy() for i in (1, 2, 3, 4))
+        known = b.column(5).is_null().to_numpy(zero_copy_only=False)
         if known.any():
             yield _marks(d[known], sig[known], start[known], start[known] + n[known] + LENGTH - 1)
         if not known.all():
@@ -308,8 +330,8 @@ def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[
     if not sent:
         return
     t = pa.Table.from_batches(sent)
-    h, d, sig, start, n = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5))
-    encoded = t.column(6).combine_chunks().dictionary_encode()
+    h, d, sig, start, n = (t.column(i).to_numpy() for i in (0, 1, 2, 3, 4))
+    encoded = t.column(5).combine_chunks().dictionary_encode()
     code, texts = encoded.indices.to_numpy(), encoded.dictionary
     least = _least(code, d)
     # equal segments: all but those of the least document go whole
@@ -376,8 +398,8 @@ def repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> tup
     firsts = facts.groupBy("_sha").agg(F.min("_id").alias("_first")).withColumnRenamed("_sha", "_sha1")
     facts = materialize(facts.join(firsts, F.col("_sha") == F.col("_sha1")).select("_id", "_sig", "_bytes", "_sha", F.coalesce((F.col("_first") < F.col("_id")) & (F.col("_bytes") >= LENGTH), F.lit(False)).alias("_copy")), "repeats-copies")
     asked = rows.where(F.col("_id").isNotNull() & (F.octet_length("_t") >= LENGTH)).select("_id", "_t").mapInArrow(_ask, "key bigint, h bigint, d bigint, known boolean")
-    shared = asked.repartition(parts, "key").mapInArrow(_answer, "_d bigint, _hs binary")
-    shared = shared.groupBy("_d").agg(F.collect_list("_hs").alias("_hs"))  # as many as the document's anchors at most
+    shared = asked.repartition(parts, "key").mapInArrow(_answer, "_d bigint, _h bigint")
+    shared = shared.repartition(parts, "_d").mapInArrow(_gather, "_d bigint, _hs array<bigint>")  # as many as the document's anchors at most
     active = facts.where("_id IS NOT NULL AND NOT _copy").select(F.col("_id").alias("_d"), F.col("_sig").alias("_s")).distinct().join(shared, "_d")
     active = materialize(active, "repeats-shared")
     held = rows.join(active, (F.col("_id") == F.col("_d")) & (F.col("_sig") == F.col("_s"))).select("_id", "_sig", "_t", "_hs")
