@@ -142,3 +142,28 @@ def test_streams(spark, tmp_path):
     (tmp_path / "files" / "x.xml").write_text("<a>\n<b/></a>")
     q = streams.read_files(spark, str(tmp_path / "files")).writeStream.format("memory").queryName("filed").trigger(availableNow=True).start()
     assert q.awaitTermination(120) and spark.sql("SELECT * FROM filed").count() == 4
+
+
+def test_relaxng_compact():
+    from treeframe.plans import relaxng_compact
+
+    g = relaxng_compact.compile_compact("""# cards
+namespace p = "urn:p"
+start = book
+book = element book { attribute id { xsd:ID }?, card*, element p:note { text }? }
+card = element card { (element name { text } & element age { xsd:int { minInclusive = "0" } }?), attribute kind { "a" | "b" } }
+""")
+    good = ["<book/>", '<book id="x"><card kind="a"><age>3</age><name>n</name></card></book>', '<book><n:note xmlns:n="urn:p">x</n:note></book>']
+    bad = ['<book><card kind="c"><name/></card></book>', '<book><card kind="a"><age>-3</age><name/></card></book>', "<book><note/></book>", '<book><card kind="a"/></book>']
+    assert [g.check(x)[0] for x in good + bad] == [True] * len(good) + [False] * len(bad)
+    assert relaxng_compact.compile_compact('element a { list { xsd:int+ } }').check("<a>1 2</a>")[0]
+    with pytest.raises(relaxng.GrammarError):
+        relaxng_compact.to_xml("element a { b, c | d }")
+
+
+def test_lint_and_declarations(spark):
+    from treeframe import api
+
+    df = documents(spark, "<?xml version='1.0' encoding=\"utf-8\"?><a><b></a>", "<a/>")
+    assert [(r.doc_id, r.rule) for r in api.lint(df).collect()] == [(1, "unclosedElement")]
+    assert [tuple(r) for r in api.text_declaration(df).orderBy("doc_id").collect()] == [(1, "1.0", "utf-8", None), (2, None, None, None)]
