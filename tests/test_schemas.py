@@ -167,3 +167,16 @@ def test_lint_and_declarations(spark):
     df = documents(spark, "<?xml version='1.0' encoding=\"utf-8\"?><a><b></a>", "<a/>")
     assert [(r.doc_id, r.rule) for r in api.lint(df).collect()] == [(1, "unclosedElement")]
     assert [tuple(r) for r in api.text_declaration(df).orderBy("doc_id").collect()] == [(1, "1.0", "utf-8", None), (2, None, None, None)]
+
+
+def test_typed_projection(spark):
+    import datetime
+    import decimal
+
+    from treeframe.operators import projection
+
+    nodes = store.stored(shred.read_xml(documents(spark, '<r><i n=" 1 " d="2024-02-29" b="1" x="1e2"><p>3.50</p></i><i n="x" d="2023-02-29"/></r>')))
+    columns = {"n": ("@n", "int"), "d": ("@d", "date"), "b": ("@b", "boolean"), "x": ("@x", "double"), "p": ("p", "decimal"), "k": ("count(p)", "int"), "parent": ("name(..)", "string")}
+    rows = projection.project(nodes, "/r/i", columns).orderBy("pre").collect()
+    assert tuple(rows[0])[2:] == (1, datetime.date(2024, 2, 29), True, 100.0, decimal.Decimal("3.500000000000000000"), 1, "r")
+    assert tuple(rows[1])[2:] == (None, None, None, None, None, 0, "r")

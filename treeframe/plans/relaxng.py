@@ -390,7 +390,7 @@ def datatype(name: str, params: tuple, s: str) -> bool:
     else:
         v = " ".join(s.split())
         form = LEXICAL.get(name, LEXICAL["integer"] if name in BOUNDS else None)
-        if form and not re.fullmatch(re.sub(r"\[([^\]]*)\]", lambda m: m[0], form), v):
+        if form and not re.fullmatch(form, v):
             return False
         low, high = BOUNDS.get(name, (None, None))
         if low is not None and int(v) < low or high is not None and int(v) > high:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeframe.functions import datatypes as D
-from treeframe.operators import catalogs, emit, identity, patterns, schematron, trees, validation, xinclude, xpointer, xsd
+from treeframe.operators import catalogs, emit, identity, patterns, projection, schematron, trees, validation, xinclude, xpointer, xsd
 from treeframe.plans import relaxng, xslt
 from treeframe.sources import shred, store
 from treeframe.xpath import evaluate, select
@@ -367,3 +367,9 @@ def tree_removal(spark, sf_dir):
     kept = trees.remove(nodes, (F.col("local") == "line") & F.exists("attrs", lambda a: (a["local"] == "flag") & (a["value"] == "N")))
     lines = select(kept, "/order/line/@part")
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), ",").alias("parts"))
+
+
+@query(_ROWS + "SELECT doc_id, n::INTEGER AS n, part::BIGINT AS part, CASE WHEN qty <= 127 THEN qty END::TINYINT AS qty, price::DOUBLE AS price, flag, cust::BIGINT AS cust FROM l")
+def typed_projection(spark, sf_dir):
+    columns = {"n": ("@n", "int"), "part": ("@part", "long"), "qty": ("@qty", "byte"), "price": ("@price", "double"), "flag": ("@flag", "string"), "cust": ("../@cust", "long")}
+    return projection.project(orders(spark, sf_dir), "/order/line", columns).drop("pre")
