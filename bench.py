@@ -7,7 +7,9 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+ROOT = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for Python workers
 
 HEADLINE = ["html_links", "html_titles", "html_paragraphs", "pattern_items", "xpath_child_predicate", "xpath_positions", "xpath_count_sum", "identity_unique", "serialize_orders", "canonical_digest", "schematron_events", "item_corpus_count"]
 
