@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,11 @@ _ROWS = 20_000
 
 def _column(values: list, name: str, kind: pa.DataType) -> pa.Array:
     if name == "attrs":
-        values = [None if v is None else [dict(zip(("prefix", "local", "ns", "value"), a, strict=True)) for a in v] for v in values]
+        flat = [a for v in values if v for a in v]
+        parts = [pa.array(c, pa.string()) for c in (zip(*flat, strict=True) if flat else [()] * 4)]
+        ends = list(accumulate(len(v) if v else 0 for v in values))
+        offsets = pa.array([None if v is None else e - len(v) for v, e in zip(values, ends, strict=True)] + [ends[-1] if ends else 0], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(kind.value_type)), type=kind)
     elif name == "nsmap":
         values = [None if v is None else list(v.items()) for v in values]
     return pa.array(values, kind)

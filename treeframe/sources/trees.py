@@ -85,5 +85,5 @@ class Lines:
         if n:
             self.line += n
             self.start = self.text.rfind("\n", 0, offset) + 1
-            self.at = offset
+        self.at = offset
         return self.line, offset - self.start + 1
