@@ -411,6 +411,13 @@ def test_extraction_by_density_without_named_article():
     assert extraction.main_text(page) == "\n".join(paragraphs)
 
 
+def test_extraction_keeps_links_within_the_article():
+    page = "<nav><a href=x>menu</a></nav><article><h1><a href=x>Title</a></h1><p>See <a href=y>A &amp;&amp;&amp;&eacute;   b</a>.</p><p><a href=z>all linked</a></p><p>Text.</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></article><p>outside</p>"
+    assert extraction.main_text(page) == "Title\nSee A &&&é b.\nall linked\nText.\nOne\nTwo"
+    weights = [x[1] for x in extraction.lines_of("<p>ab <a href=x>&amp;&eacute;&amp;   c</a> de</p>") if x[0]]
+    assert weights == [6]  # 'ab ' and ' de'
+
+
 # mixing
 
 

@@ -3,7 +3,7 @@
 Markup is stripped to lines, one for each block element; menus, adverts, forms and other named boilerplate become empty
 lines, and text within links has no weight. The weights of ``WINDOW`` consecutive lines are summed. Where that sum
 surges over a threshold, derived from the page's largest sum, the article begins, and where it dives for the last time it
-ends; the lines of text between are kept. If the page names its article (article, main), lines outside of it are empty.
+ends; all lines of text between are kept, links too. If the page names its article (article, main), lines outside of it are empty.
 
 Nulls: a null html is empty, and its text is the empty string. Repeated rows, null ids and urls are carried. Pages are
 processed whole; memory is that of one Arrow batch.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,24 +41,23 @@ def _noisy(attributes: str) -> bool:
     return False
 
 
+def _collapsed(s: str) -> str:
+    return " ".join(html_lib.unescape(s).split())
+
+
 class _Lines:
     def __init__(self) -> None:
         self.lines: list[tuple[str, int, bool, str]] = []  # text, weight, within the article, tag
-        self.parts: list[str] = []
-        self.linked = 0
+        self.parts: list[tuple[str, bool]] = []
 
     def text(self, s: str, link: bool) -> None:
-        self.parts.append(s)
-        if link:
-            self.linked += len(s.strip())
+        self.parts.append((s, link))
 
     def end(self, inside: bool, tag: str) -> None:
-        if self.parts:
-            text = " ".join(html_lib.unescape("".join(self.parts)).split())
-            self.lines.append((text, max(0, len(text) - self.linked), inside, tag))
-            self.parts, self.linked = [], 0
-        else:
-            self.lines.append(("", 0, inside, tag))
+        text = _collapsed("".join(s for s, _ in self.parts))
+        linked = sum(len(_collapsed("".join(s for s, _ in run))) for link, run in groupby(self.parts, lambda x: x[1]) if link)
+        self.lines.append((text, max(0, len(text) - linked), inside, tag))
+        self.parts = []
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
@@ -115,12 +115,15 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
     most = max(sums, default=0)
     if not most:
         return ""
-    limit = 1 if named else min(120.0, 0.3 * most)
-    prose = [weights[i] > 0 and (named or weights[i] >= 40 or lines[i][3] in _PROSE) for i in range(n)]
-    surges = [i for i in range(n) if sums[i] >= limit]
-    begin = next((i for i in range(surges[0], n) if prose[i]), surges[0])
-    end = next((i for i in range(min(n, surges[-1] + window) - 1, -1, -1) if prose[i]), n - 1)
-    return "\n".join(x[0] for i, x in enumerate(lines[begin : end + 1], begin) if x[0] and (x[2] or not named) and (weights[i] > 0))
+    limit = min(120.0, 0.3 * most)
+    prose = [weights[i] >= 40 or weights[i] > 0 and lines[i][3] in _PROSE for i in range(n)]
+    if named:
+        begin, *_, end = [i for i, x in enumerate(lines) if x[2] and x[0]] * 2
+    else:
+        surges = [i for i in range(n) if sums[i] >= limit]
+        begin = next((i for i in range(surges[0], n) if prose[i]), surges[0])
+        end = next((i for i in range(min(n, surges[-1] + window) - 1, -1, -1) if prose[i]), n - 1)
+    return "\n".join(x[0] for x in lines[begin : end + 1] if x[0] and (x[2] or not named))
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", window: int = WINDOW) -> DataFrame:
