@@ -418,6 +418,16 @@ def test_extraction_keeps_links_within_the_article():
     assert weights == [6]  # 'ab ' and ' de'
 
 
+def test_extraction_keeps_short_lines_at_the_edges_of_the_container():
+    rnd = random.Random(17)
+    lead, *more = [prose(rnd, 60) for _ in range(4)]
+    own = ["A title", "By someone", lead, *more, "Short one.", "Short two.", "first item", "second item", "The end."]
+    tags = ["h1", *["p"] * 7, "li", "li", "p"]
+    body = "".join(f"<{t}>{html.escape(x)}</{t}>" for t, x in zip(tags, own, strict=True))
+    page = f"<div><p>outside</p></div><div>{body}<ul><li><a href=x>link</a></li></ul></div><div><p>outside</p></div>"
+    assert extraction.main_text(page) == "\n".join(own)
+
+
 # mixing
 
 

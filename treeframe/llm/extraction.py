@@ -1,9 +1,10 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block element; menus, adverts, forms and other named boilerplate become empty
-lines, and text within links has no weight. The weights of ``WINDOW`` consecutive lines are summed. Where that sum
-surges over a threshold, derived from the page's largest sum, the article begins, and where it dives for the last time it
-ends; all lines of text between are kept, links too. If the page names its article (article, main), lines outside of it are empty.
+Markup is stripped to lines, one for each block element that has text; menus, adverts, forms and other named boilerplate
+go, and text within links has no weight. The weights of ``WINDOW`` consecutive lines are summed. Where that sum surges
+over a threshold, derived from the page's largest sum, the article begins, and where it dives for the last time it ends.
+Both are moved outward over adjoining headings and unlinked blocks of the same container (any line, within an article),
+and all lines between are kept, links too. If the page names its article (article, main), lines outside of it go.
 
 Nulls: a null html is empty, and its text is the empty string. Repeated rows, null ids and urls are carried. Pages are
 processed whole; memory is that of one Arrow batch.
@@ -15,6 +16,7 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,9 @@ _DROPPED = frozenset("nav footer aside form menu dialog button label fieldset".s
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NOISE = frozenset("ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promoted promotion related remark remarks replies reply respond search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar widget widgets".split())
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd td figcaption".split())
+_ARTICLES = frozenset(("article", "main"))
+_CONTAINERS = _ARTICLES | frozenset("div section td th center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _noisy(attributes: str) -> bool:
@@ -45,25 +49,54 @@ def _collapsed(s: str) -> str:
     return " ".join(html_lib.unescape(s).split())
 
 
+class _Line(NamedTuple):
+    text: str
+    weight: int  # its characters outside of links
+    articles: tuple[int, ...]  # the open article and main elements, outermost first
+    box: int  # the innermost open container
+    tag: str
+
+
 class _Lines:
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool, str]] = []  # text, weight, within the article, tag
+        self.lines: list[_Line] = []
         self.parts: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, int]] = []  # containers
+        self.boxes = 0
 
     def text(self, s: str, link: bool) -> None:
         self.parts.append((s, link))
 
-    def end(self, inside: bool, tag: str) -> None:
-        text = _collapsed("".join(s for s, _ in self.parts))
-        linked = sum(len(_collapsed("".join(s for s, _ in run))) for link, run in groupby(self.parts, lambda x: x[1]) if link)
-        self.lines.append((text, max(0, len(text) - linked), inside, tag))
+    def end(self, tag: str) -> None:
+        if text := _collapsed("".join(s for s, _ in self.parts)):
+            linked = sum(len(_collapsed("".join(s for s, _ in run))) for link, run in groupby(self.parts, lambda x: x[1]) if link)
+            articles = tuple(i for name, i in self.open if name in _ARTICLES)
+            self.lines.append(_Line(text, max(0, len(text) - linked), articles, self.open[-1][1] if self.open else 0, tag))
         self.parts = []
 
+    def enter(self, name: str) -> None:
+        self.boxes += 1
+        self.open.append((name, self.boxes))
+
+    def leave(self, name: str) -> None:
+        """Closes the innermost container of that name; a stray end tag closes no article but by the article's name."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == name:
+                del self.open[i:]
+                return
+            if self.open[i][0] in _ARTICLES and name not in _ARTICLES:
+                return
+
+    @property
+    def inside(self) -> bool:
+        return any(name in _ARTICLES for name, _ in self.open)
 
-def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
+
+def lines_of(page: str) -> list[_Line]:
+    """The lines that have text."""
     out = _Lines()
     skip, depth = "", 0  # the dropped element that is open, and how many of its name
-    article, link, tag, at = 0, 0, "", 0
+    link, tag, at = 0, "", 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not skip:
             out.text(page[at : m.start()], link > 0)
@@ -82,48 +115,56 @@ def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
                 if not depth:
                     skip = ""
                 continue
-            if not (name in ("article", "main") and not closing and skip != "aside") and not (closing and name in ("article", "main", "body", "html")):
+            if not (name in _ARTICLES and not closing and skip != "aside") and not (closing and name in ("article", "main", "body", "html")):
                 continue
             skip, depth = "", 0  # the dropped element was never closed
         if name in _BLOCKS:
-            out.end(article > 0, tag)
+            out.end(tag)
             tag, link = ("" if closing else name), 0
-            if name in ("article", "main"):
-                article = max(0, article + (-1 if closing else 1))
-            elif closing and name in ("body", "html"):
-                article = 0
         elif name == "br":
             out.text(" ", False)
         elif name == "a":
             link = 0 if closing else 1
-        if not closing and name not in _VOID and name not in ("article", "main", "body", "html", "head") and (name in _DROPPED or name == "header" and not article or _noisy(m[4])) and not m[4].endswith("/"):
+        if not closing and name not in _VOID and name not in ("article", "main", "body", "html", "head") and (name in _DROPPED or name == "header" and not out.inside or _noisy(m[4])) and not m[4].endswith("/"):
             if name not in _BLOCKS and name not in _DROPPED and name not in ("span", "ins"):
                 continue
             skip, depth = name, 1
+        elif closing and name in ("body", "html"):
+            out.open.clear()
+        elif name in _CONTAINERS:
+            out.leave(name) if closing else out.enter(name)
     if at < len(page) and not skip:
         out.text(page[at:], link > 0)
-    out.end(article > 0, tag)
+    out.end(tag)
     return out.lines
 
 
+def _adjoins(line: _Line, edge: _Line) -> bool:
+    """Whether a line beside the text's edge belongs to the text: any of the same article, headings and prose of the same container."""
+    if line.articles or edge.articles:
+        return bool(line.articles) and line.articles[-1] in edge.articles
+    return line.box == edge.box and (line.tag in _HEADINGS or 2 * line.weight >= len(line.text))
+
+
 def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = lines_of(page or "")
-    named = any(x[2] and x[1] for x in lines)
-    weights = [x[1] if x[2] or not named else 0 for x in lines]
-    n = len(weights)
+    if named := any(x.articles and x.weight for x in lines):
+        lines = [x for x in lines if x.articles]
+    n, weights = len(lines), [x.weight for x in lines]
     sums = [sum(weights[i : i + window]) for i in range(n)]
     most = max(sums, default=0)
     if not most:
         return ""
-    limit = min(120.0, 0.3 * most)
-    prose = [weights[i] >= 40 or weights[i] > 0 and lines[i][3] in _PROSE for i in range(n)]
-    if named:
-        begin, *_, end = [i for i, x in enumerate(lines) if x[2] and x[0]] * 2
-    else:
-        surges = [i for i in range(n) if sums[i] >= limit]
-        begin = next((i for i in range(surges[0], n) if prose[i]), surges[0])
-        end = next((i for i in range(min(n, surges[-1] + window) - 1, -1, -1) if prose[i]), n - 1)
-    return "\n".join(x[0] for x in lines[begin : end + 1] if x[0] and (x[2] or not named))
+    limit = 1 if named else min(120.0, 0.3 * most)
+    surges = [i for i in range(n) if sums[i] >= limit]
+    # a window over the limit has a line of at least its share
+    begin = next(i for i in range(surges[0], n) if weights[i] * window >= limit)
+    end = next(i for i in range(min(n, surges[-1] + window) - 1, -1, -1) if weights[i] * window >= limit)
+    while begin > 0 and _adjoins(lines[begin - 1], lines[begin]):
+        begin -= 1
+    while end < n - 1 and _adjoins(lines[end + 1], lines[end]):
+        end += 1
+    return "\n".join(x.text for x in lines[begin : end + 1])
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html", window: int = WINDOW) -> DataFrame:
