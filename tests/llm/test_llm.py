@@ -428,6 +428,24 @@ def test_extraction_keeps_short_lines_at_the_edges_of_the_container():
     assert extraction.main_text(page) == "\n".join(own)
 
 
+def test_extraction_weighs_articles_and_drops_noise_around_them():
+    rnd = random.Random(18)
+    own = [prose(rnd, 60) for _ in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in own)
+    teasers = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3><p>Read this too.</p></article>" for i in range(4))
+    said = prose(rnd, 80)
+    for page in (
+        f"<div>{body}</div><div>{teasers}</div>",
+        f"<article>{body}</article><div><p>{said[:200]}</p></div>",
+        f"<article>{body}</article><div class=comments><article class=comment><p>{said}</p></article><article><p>{said}<div>x</article></div>",
+        f"<article>{body}</article><article class='comment'><p>{said}</p></article>",
+        f"<div class=ad>never closed<article>{body}</article>",
+        f"<main><nav>never closed<article>{body}</article></main><footer>{said}</footer>",
+    ):
+        assert extraction.main_text(page) == "\n".join(own), page[:40]
+    assert extraction.main_text(f"<main><h1>Title</h1><article>{body}</article></main>") == "\n".join(["Title", *own])
+
+
 # mixing
 
 

@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block element that has text; menus, ad
 go, and text within links has no weight. The weights of ``WINDOW`` consecutive lines are summed. Where that sum surges
 over a threshold, derived from the page's largest sum, the article begins, and where it dives for the last time it ends.
 Both are moved outward over adjoining headings and unlinked blocks of the same container (any line, within an article),
-and all lines between are kept, links too. If the page names its article (article, main), lines outside of it go.
+and all lines between are kept, links too. If the page names its article (article, main) and that holds a third of the
+unlinked text at least, its lines have ``BONUS`` times the weight; smaller ones, such as teaser cards, have no bonus.
 
 Nulls: a null html is empty, and its text is the empty string. Repeated rows, null ids and urls are carried. Pages are
 processed whole; memory is that of one Arrow batch.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from treeframe.llm.common import table
 
 WINDOW = 3
+#: An article (or main) with 1 / SHARE of the page's unlinked text has BONUS times its weight.
+SHARE, BONUS = 3, 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROPPED = frozenset("nav footer aside form menu dialog button label fieldset".split())
@@ -92,12 +96,39 @@ class _Lines:
         return any(name in _ARTICLES for name, _ in self.open)
 
 
+def _ends(tokens: list[re.Match]) -> dict[int, int]:
+    """Offsets of start tags and of their end tags, where those stand in the same article (or main)."""
+    open_: dict[str, list[tuple[int, int]]] = {}  # by name: offsets of the start tag and of the article around it
+    articles: list[tuple[str, int]] = []
+    out = {}
+    for m in tokens:
+        name = (m[3] or "").lower()
+        if not name or name in _VOID or m[4].endswith("/"):
+            continue
+        around = articles[-1][1] if articles else -1
+        if name in _ARTICLES:
+            if not m[2]:
+                articles.append((name, m.start()))
+            elif (k := next((k for k in range(len(articles) - 1, -1, -1) if articles[k][0] == name), -1)) >= 0:
+                out[articles[k][1]] = m.start()
+                del articles[k:]
+        elif not m[2]:
+            open_.setdefault(name, []).append((m.start(), around))
+        elif stack := open_.get(name):
+            while stack and stack[-1][1] > around:
+                stack.pop()  # its article ended first
+            if stack and stack[-1][1] == around:
+                out[stack.pop()[0]] = m.start()
+    return out
+
+
 def lines_of(page: str) -> list[_Line]:
     """The lines that have text."""
     out = _Lines()
-    skip, depth = "", 0  # the dropped element that is open, and how many of its name
+    tokens, ends = list(_TOKEN.finditer(page)), None
+    skip, depth, until = "", 0, -1  # the dropped element that is open, how many of its name, its end tag's offset
     link, tag, at = 0, "", 0
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         if m.start() > at and not skip:
             out.text(page[at : m.start()], link > 0)
         at = m.end()
@@ -109,6 +140,10 @@ def lines_of(page: str) -> list[_Line]:
                 out.text(" ", False)
             continue
         closing = bool(m[2])
+        if skip and until >= 0:
+            if m.start() == until:
+                skip = ""
+            continue
         if skip:
             if name == skip:
                 depth += -1 if closing else 0 if m[4].endswith("/") else 1
@@ -125,10 +160,11 @@ def lines_of(page: str) -> list[_Line]:
             out.text(" ", False)
         elif name == "a":
             link = 0 if closing else 1
-        if not closing and name not in _VOID and name not in ("article", "main", "body", "html", "head") and (name in _DROPPED or name == "header" and not out.inside or _noisy(m[4])) and not m[4].endswith("/"):
+        if not closing and name not in _VOID and name not in ("main", "body", "html", "head") and (name in _DROPPED or name == "header" and not out.inside or _noisy(m[4])) and not m[4].endswith("/"):
             if name not in _BLOCKS and name not in _DROPPED and name not in ("span", "ins"):
                 continue
-            skip, depth = name, 1
+            ends = _ends(tokens) if ends is None else ends
+            skip, depth, until = name, 1, ends.get(m.start(), -1)
         elif closing and name in ("body", "html"):
             out.open.clear()
         elif name in _CONTAINERS:
@@ -148,14 +184,20 @@ def _adjoins(line: _Line, edge: _Line) -> bool:
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = lines_of(page or "")
-    if named := any(x.articles and x.weight for x in lines):
-        lines = [x for x in lines if x.articles]
-    n, weights = len(lines), [x.weight for x in lines]
+    n, free = len(lines), Counter()
+    for x in lines:
+        free.update(dict.fromkeys(x.articles, x.weight))
+    total = sum(x.weight for x in lines)
+    main = {i for i, k in free.items() if k * SHARE >= total}
+    weights = [x.weight * (1 if main.isdisjoint(x.articles) else BONUS) for x in lines]
     sums = [sum(weights[i : i + window]) for i in range(n)]
     most = max(sums, default=0)
     if not most:
         return ""
-    limit = 1 if named else min(120.0, 0.3 * most)
+    top = sums.index(most)
+    limit = 0.3 * most
+    if all(main.isdisjoint(x.articles) for x in lines[top : top + window]):
+        limit = min(120.0, limit)
     surges = [i for i in range(n) if sums[i] >= limit]
     # a window over the limit has a line of at least its share
     begin = next(i for i in range(surges[0], n) if weights[i] * window >= limit)
