@@ -33,7 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer=packing.default_tokenizer())
+    return packing.pack(docs, tokenizer=packing.default_tokenizer(), added=True)
 
 
 STAGES = [

@@ -387,6 +387,23 @@ def test_packing_keeps_each_token_once(spark):
     assert packing.pack(docs(spark, texts).limit(0), tokenizer=packing.default_tokenizer()).count() == 0
 
 
+def test_queries_pack_the_ids_of_the_tokenizer_by_default(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}  x", f"word{end}word, <|endoftext | {end[:-1]}", f" {end}\n\n{end} ", f"it's\u00a0{end}  two", "plain text", "", None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (packing.op8_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs(spark, texts), "")):
+        got = out.collect()
+        for i, t in enumerate(texts):
+            ids = np.array([*default.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+            own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+            assert [(r.doc_tokens, r.ids_crc32) for r in own] == [(len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes())) for r in own]
+            assert sum(r.length for r in own) == len(ids)
+
+
 # extraction
 
 PAGES = {

@@ -13,6 +13,7 @@ is that of one Arrow batch and one open sequence.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -86,16 +87,24 @@ class Tokens(dict):
     """Ids, as little-endian 32-bit bytes, of texts by a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary is run by tiktoken, whose ids are the same (a token's id is its rank) in a fraction of the time.
-    Such a tokenizer splits before each single space between two characters that are no white space, so ids are kept by
+    The file's added tokens are plain text, or, with ``added``, cut out first and given their own ids, as tokenizers does
+    by default. Such a tokenizer splits before each single space between two characters that are no white space, so ids are kept by
     space-led word; a text with other white space next to a space is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         super().__init__()
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        listed = file.get("added_tokens") or []
+        if added and any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in listed):
+            raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in listed} if added else {}
+        # the longest of those that start at a place
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         # such files write each byte as a printable character: itself, or the next free one from U+0100
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -114,6 +123,11 @@ class Tokens(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.cut and len(parts := self.cut.split(text)) > 1:
+            return b"".join(self.added[x] if i % 2 else self.plain(x) for i, x in enumerate(parts))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not rest:
             return self.whole(text) if text else b""
@@ -168,11 +182,11 @@ class Packer:
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-_WORKER: dict[str, Tokens] = {}
+_WORKER: dict[tuple[str, bool], Tokens] = {}
 
 
-def pack(df: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, separator: int = 0, parts: int | None = None) -> DataFrame:
-    """A row for each piece. tokenizer: path of a tokenizers file, on every executor."""
+def pack(df: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, separator: int = 0, parts: int | None = None, added: bool = False) -> DataFrame:
+    """A row for each piece. tokenizer: path of a tokenizers file, on every executor; added: map its added tokens (else plain text)."""
     spark = df.sparkSession
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +194,7 @@ def pack(df: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(curve_keys(b.column(1).to_pylist())), b.column(0), b.column(1)], names=["_k", "_id", "_t"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _WORKER.setdefault(tokenizer, None) or Tokens(tokenizer)
-        _WORKER[tokenizer] = tokens
+        tokens = _WORKER[tokenizer, added] = _WORKER.get((tokenizer, added)) or Tokens(tokenizer, added)
         end = np.array([separator], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40, size)
         for b in batches:
@@ -203,4 +216,4 @@ def default_tokenizer() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer=default_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), tokenizer=default_tokenizer(), added=True)
