@@ -156,6 +156,17 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in (*range(101, 140), 200)}
 
 
+def test_keep_one_judges_texts_that_share_an_id_apart(spark):
+    a, b = (prose(random.Random(k), 60) for k in (19, 20))
+    for rows, want in (
+        ([(1, a), (5, a), (5, b), (7, b), (8, b)], [(1, a), (5, b)]),
+        ([(5, a), (5, b), (5, b), (5, b), (7, a), (8, b)], [(5, a), (5, b)]),
+        ([(5, a), (5, a), (5, b), (5, b), (None, a)], [(None, a), (5, a), (5, b)]),
+    ):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 # quality
 
 

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeframe.llm.common import materialize, table
@@ -48,15 +48,21 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(got)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """id, _tf_fp (the fingerprint as a signed long)."""
+def signature(text: str) -> Column:
+    """A hash that tells texts apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 4, signed: bool = False) -> DataFrame:
+    """id, _tf_fp (the fingerprint as a signed long), and if signed _tf_sig (see signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["_tf_id", "_tf_fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["_tf_id", "_tf_fp", *["_tf_sig"][: len(b.columns) - 2]])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "_tf_id bigint, _tf_fp bigint")
+    own = [signature(text).alias("_tf_sig")] if signed else []
+    return df.select(F.col(id_col).cast("long"), F.col(text), *own).mapInArrow(run, "_tf_id bigint, _tf_fp bigint" + ", _tf_sig bigint" * signed)
 
 
 class Forest:
@@ -223,16 +229,27 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", **params) -> DataF
     return out.select(F.col("_tf_id").alias(id_col), F.lower(F.lpad(F.hex("_tf_fp"), 16, "0")).alias("fingerprint"), F.col("_tf_component").alias("component_id"))
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of df whose id is the least of its component, with df's columns; of repeated rows of an id, one. Rows without an id stay."""
-    groups = near_groups(df, id_col=id_col, **params)
-    groups = materialize(groups.groupBy("_tf_id").agg((F.min("_tf_component") < F.first("_tf_id")).alias("_tf_copy"), F.count("*").alias("_tf_n")).where("_tf_id IS NOT NULL AND (_tf_copy OR _tf_n > 1)"), "simhash-drop")
-    kept = df.join(groups.where("_tf_copy").select("_tf_id"), F.col(id_col) == F.col("_tf_id"), "left_anti")
-    again = groups.where("NOT _tf_copy").select("_tf_id")
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", most: int = 4, **params) -> DataFrame:
+    """One row of df for each component of fingerprints, that of the least id, with df's columns. Rows without an id stay.
+
+    Rows are judged by id and text: an id that comes with several texts is a row of each text's component.
+    """
+    fps = materialize(fingerprints(df, id_col=id_col, text=text, signed=True), "simhash-fingerprints").where("_tf_id IS NOT NULL")
+    # a fingerprint is its own node here: texts that share an id only are not linked
+    nodes = materialize(fps.groupBy("_tf_fp").agg(F.min(F.struct("_tf_id", "_tf_sig")).alias("_tf_least")), "simhash-distinct")
+    found = components(linked(nodes.select("_tf_fp", F.col("_tf_fp").alias("_tf_rep")), most=most, **params), "simhash-links")
+    named = materialize(nodes.join(found, F.col("_tf_fp") == F.col("u"), "left").select(F.col("_tf_fp").alias("_fp"), F.coalesce("component", "_tf_fp").alias("_tf_component"), "_tf_least"), "simhash-components")
+    first = named.groupBy(F.col("_tf_component").alias("_c")).agg(F.min("_tf_least").alias("_tf_first"))
+    first = materialize(named.join(first, F.col("_tf_component") == F.col("_c")).select("_fp", "_tf_first"), "simhash-firsts")
+    judged = fps.join(first, F.col("_tf_fp") == F.col("_fp")).groupBy("_tf_id", "_tf_sig").agg((F.struct("_tf_id", "_tf_sig") != F.min("_tf_first")).alias("_tf_copy"), F.count("*").alias("_tf_n"))
+    drop = materialize(judged.where("_tf_copy OR _tf_n > 1"), "simhash-drop")
+    same = (F.col(id_col) == F.col("_tf_id")) & (signature(text) == F.col("_tf_sig"))
+    kept = df.join(drop.where("_tf_copy").select("_tf_id", "_tf_sig"), same, "left_anti")
+    again = drop.where("NOT _tf_copy").select("_tf_id", "_tf_sig")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col(id_col) == F.col("_tf_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col("_tf_id"), "left_anti").unionByName(once)
+    once = kept.join(again, same, "left_semi").withColumn("_tf_s", signature(text)).dropDuplicates([id_col, "_tf_s"]).drop("_tf_s")
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
