@@ -317,6 +317,16 @@ def test_without_repeats_keeps_columns(spark):
     assert out[2].text == "new words  end of it" and out[2].n_chars == len(out[2].text)
 
 
+def test_without_repeats_loses_only_the_characters_that_are_cut(spark):
+    t = prose(random.Random(21), 60)
+    # é and è share their first byte, é and ĩ their last: each span ends within a character
+    df = docs(spark, [t + "é", "a\ufffdb " + t + "è c\ufffd", "ĩ" + t[:99], t[-80:] + "ê"])
+    out = {r.doc_id: r for r in repeats.without_repeats(df).collect()}
+    assert sorted(out) == [0, 1, 2] and out[0].text == t + "é"
+    assert out[1].text == "a\ufffdb  c\ufffd" and out[1].n_chars == len(out[1].text)
+    assert out[2].text == "ĩ"
+
+
 # chats
 
 

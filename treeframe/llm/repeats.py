@@ -365,26 +365,28 @@ def _match(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[
             some, size = [], 0
 
 
+def _whole(t: bytes, a: int, e: int) -> tuple[int, int]:
+    """The span a to e, widened to the characters it cuts in two."""
+    while 0 < a < len(t) and t[a] & 0xC0 == 0x80:
+        a -= 1
+    while e < len(t) and t[e] & 0xC0 == 0x80:
+        e += 1
+    return a, e
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, _sig, _t, _as, _bs to the digest columns and the bytes that stay."""
+    """_id, _sig, _t, _as, _bs to the digest columns (of the bytes that stay) and the whole characters that stay."""
     for b in batches:
         out = []
         for t, starts, ends in zip(_bytes(b, 2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            order = sorted(zip(starts, ends, strict=True))
-            kept, upto, removed, spans = [], 0, 0, 0
-            last = -1
-            for a, e in order:
-                if a > last:
-                    spans += 1
-                    kept.append(t[upto:a])
-                    removed += e - a
-                    last = upto = e
-                elif e > last:
-                    removed += e - last
-                    last = upto = e
-            kept.append(t[upto:])
-            rest = b"".join(kept)
-            out.append((removed, spans, hashlib.sha256(rest).hexdigest(), rest))
+            spans: list[list[int]] = []
+            for a, e in sorted(zip(starts, ends, strict=True)):
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(e, spans[-1][1])
+                else:
+                    spans.append([a, e])
+            stay = lambda cuts: b"".join(t[e:a] for e, a in zip([0, *(e for _, e in cuts)], [*(a for a, _ in cuts), len(t)], strict=True))  # noqa: B023, E731
+            out.append((sum(e - a for a, e in spans), len(spans), hashlib.sha256(stay(spans)).hexdigest(), stay([_whole(t, a, e) for a, e in spans])))
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["_d", "_s", "_removed", "_spans", "_sha", "_rest"])
 
@@ -435,7 +437,7 @@ def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text"
     change = facts.where("_copy").select(F.col("_id").alias("_d"), F.col("_sig").alias("_s"), F.lit(b"").alias("_rest")).distinct().unionByName(lost)
     sig = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     both = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), sig.alias("_sig")).join(change, (F.col("_id") == F.col("_d")) & (F.col("_sig") == F.col("_s")), "left")
-    clean = F.when(F.col("_rest").isNull(), F.col("_row")[text]).otherwise(F.make_valid_utf8(F.decode("_rest", "UTF-8")) if False else F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("_rest").cast("string"))), F.lit("�"), F.lit("")))
+    clean = F.when(F.col("_rest").isNull(), F.col("_row")[text]).otherwise(F.col("_rest").cast("string"))
     both = both.where("_rest IS NULL OR octet_length(_rest) > 0").withColumn("_clean", clean)
     new = {text: F.col("_clean")} | ({n_chars: F.when(F.col("_rest").isNull(), F.col("_row")[n_chars]).otherwise(F.length("_clean").cast(df.schema[n_chars].dataType))} if n_chars in df.columns else {})
     return both.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in df.columns))
