@@ -233,6 +233,16 @@ def test_warc_round_trip(spark):
     assert warc.derive(None)[0]["refers_to"] == ""
 
 
+def test_warc_keeps_repeated_and_http_headers_and_the_charset():
+    payload = "<p>caf\u00e9 \u20ac</p>".encode("cp1252")
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nSet-Cookie: a\r\nset-cookie: b\r\n\r\n" + payload
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Concurrent-To: <x>\r\nWARC-Concurrent-To: <y>\r\nContent-Length: {len(block)}\r\n\r\n"
+    meta, text = (warc.parse(r["record"])[1].decode() for r in warc.derive(head.encode() + block))
+    assert text == "caf\u00e9 \u20ac"
+    for line in ("source-warc-concurrent-to: <x>", "source-warc-concurrent-to: <y>", "http-header-content-type: text/html; charset=ISO-8859-1", "http-header-set-cookie: a", "http-header-set-cookie: b", "http-status: 200"):
+        assert line in meta.split("\r\n")
+
+
 # repeats
 
 

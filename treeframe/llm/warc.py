@@ -3,7 +3,7 @@
 A response record (headers and an HTTP message) gives two records: ``metadata`` with the facts of the payload as
 application/warc-fields, and ``conversion`` with its visible text. Both carry WARC-Refers-To (the response's record id),
 the response's target URI, date and payload digest, and a block digest of their own; the metadata repeats the source's
-headers. Record ids are UUIDs (version 5) of the source id and the kind, so a task that runs again writes the same ids.
+headers and those of its HTTP message. Payloads are decoded by the charset that the Content-Type names. Record ids are UUIDs (version 5) of the source id and the kind, so a task that runs again writes the same ids.
 Records are built row by row where the rows are: no shuffle.
 
 Nulls: a null html or url is empty; an empty payload gives an empty conversion. A response without a record id gets the
@@ -13,6 +13,7 @@ refers-to of the empty id. Repeated rows give repeated records. Malformed respon
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html as html_lib
 import re
@@ -29,6 +30,7 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of U
 CRAWLED = "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|title|body|head|form|blockquote|pre|dl|dt|dd|hr|main|figure)\b[^>]*>", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([^\s;\"']+)", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
 
 
@@ -45,13 +47,43 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (with the version line under "") and block of a record."""
+def pairs(lines: list[str]) -> list[tuple[str, str]]:
+    """Header lines as names and values, in order, repeated ones too; a line led by white space continues the one before."""
+    out: list[tuple[str, str]] = []
+    for x in lines:
+        if x[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {x.strip()}".strip()
+        elif x:
+            k, _, v = x.partition(":")
+            out.append((k.strip(), v.strip()))
+    return out
+
+
+def fields(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers, in order (the version line first, under ""), and block of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "replace").split("\r\n")
-    headers = {"": version} | {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    size = int(headers.get("Content-Length", len(rest)))
-    return headers, rest[:size]
+    headers = [("", version), *pairs(lines)]
+    return headers, rest[: int(dict(headers).get("Content-Length", len(rest)))]
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """As fields, with the last of repeated headers."""
+    headers, block = fields(data)
+    return dict(headers), block
+
+
+def charset(http: list[tuple[str, str]]) -> str:
+    """The charset that the Content-Type header names; UTF-8 if there is none, or none that is known."""
+    for k, v in http:
+        if k.lower() == "content-type" and (m := _CHARSET.search(v)):
+            try:
+                b" ".decode(m[1], "replace")  # codecs that give no text are errors
+                # the web's reading of these names
+                return "cp1252" if codecs.lookup(m[1]).name in ("iso8859-1", "ascii") else m[1]
+            except (LookupError, ValueError):
+                return "utf-8"
+    return "utf-8"
 
 
 def visible(page: str) -> str:
@@ -71,16 +103,19 @@ def response(url: str | None, html: str | None, date: str = CRAWLED) -> bytes:
 
 def derive(source: bytes | None) -> list[dict]:
     """The metadata and the conversion record of a response record, as rows."""
-    headers, block = parse(source or b"")
+    listed, block = fields(source or b"")
+    headers = dict(listed)
     head, blank, payload = block.partition(b"\r\n\r\n")
     if not blank:
         head, payload = b"", block
     sid = headers.get("WARC-Record-ID", "")
-    page = payload.decode("utf-8", "replace")
+    status, *lines = head.decode("utf-8", "replace").split("\r\n")
+    http = pairs(lines)
+    page = payload.decode(charset(http), "replace")
     text = visible(page)
-    facts = {"payload-bytes": len(payload), "text-chars": len(text), "links": len(re.findall(r"<a\s[^>]*href", page, re.I)), "http-status": (head.split(b"\r\n")[0].decode("latin-1").split(" ") + ["", ""])[1]}
-    facts |= {f"source-{k.lower()}": v for k, v in headers.items() if k and k != "Content-Length"}
-    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts.items()).encode("utf-8", "surrogatepass")), "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"))}
+    counts = {"payload-bytes": len(payload), "text-chars": len(text), "links": len(re.findall(r"<a\s[^>]*href", page, re.I)), "http-status": (status.split(" ") + ["", ""])[1]}
+    facts = [*counts.items(), *((f"source-{k.lower()}", v) for k, v in listed if k and k != "Content-Length"), *((f"http-header-{k.lower()}", v) for k, v in http if k)]
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")), "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"))}
     ids = {k: record_id(f"{k} of {sid}") for k in blocks}
     rows = []
     for kind, (type_, data) in blocks.items():
