@@ -91,7 +91,7 @@ class Forest:
             made += zip(a[first].tolist(), b[first].tolist(), strict=True)
 
 
-def trie_links(values: np.ndarray, exact: int, most: int, side: np.ndarray | None = None, step: int = 4, block: int = 1 << 18) -> list[tuple[int, int]]:
+def trie_links(values: np.ndarray, exact: int, most: int, side: np.ndarray | None = None, step: int = 4, block: int = 1 << 16) -> list[tuple[int, int]]:
     """A spanning forest, as index pairs, of the links among distinct sorted uint64 values that agree on the top exact bits.
 
     Node pairs are walked down the trie step bits at a time, depth first in blocks, so memory does not grow with the
