@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. The pivots come from a bounded sample (``sample`` rows, those of
-least hashed id); every vector is indexed. Vectors of unequal length are lifted by one coordinate to the greatest
+A vector is represented by its pivots in order of nearness. The pivots come from a bounded sample (``sample`` rows, those
+of least hashed id); every vector is indexed. Vectors of unequal length are lifted by one coordinate to the greatest
 length, which makes nearness by inner product nearness by angle. The index is cut into shards by hashed id; in a shard
-each pivot has an inverted file of the vectors that have it among their first ``prefix``, with its rank there. A query
-adds up, over the files of its own pivots, how far the ranks are apart (Spearman's footrule on prefixes, absent pivots
-standing after all others); the ``share`` of a shard that comes first is reranked by the inner product of the original
-vectors in double precision, and the best of all shards are merged.
+each pivot has an inverted file, the ranks at which the shard's vectors list it (those beyond ``prefix`` standing after
+all others). A query adds up, file by file, how far those ranks are from its own (Spearman's footrule); the ``share`` of a
+shard that comes first, and ``FLOOR`` times k at least, is reranked by the inner product of the original vectors in double
+precision, and the best of all shards are merged.
 
 The queries are a stated set against all rows, in blocks: each task has one block of queries and one shard.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from treeframe.llm.common import materialize, table
 
-PIVOTS, PREFIX, SHARE, SAMPLE, LEAST = 256, 64, 0.4, 4096, 1000
+PIVOTS, PREFIX, SHARE, SAMPLE, FLOOR = 256, 256, 0.1, 4096, 8
 
 
 def usable(vector: Column) -> Column:
@@ -47,26 +47,26 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
 
 
 class Files:
-    """Inverted files of a shard: of each pivot the rows that list it and their ranks."""
+    """Inverted files of a shard: of each pivot the rank at which each vector lists it, prefix if it doesn't."""
 
     def __init__(self, perms: np.ndarray, pivots: int):
         n, self.m = perms.shape
-        flat = perms.ravel()
-        order = np.argsort(flat, kind="stable")
-        self.rows, self.ranks = order // self.m, (order % self.m).astype(np.int32)
-        self.at = np.searchsorted(flat[order], np.arange(pivots + 1))
-        self.n = n
+        self.files = np.full((pivots, n), self.m, np.int16)
+        rows = np.arange(n)
+        for rank in range(self.m):
+            self.files[perms[:, rank], rows] = rank
 
     def distances(self, perm: np.ndarray) -> np.ndarray:
-        """Footrule from a query's permutation, less a constant."""
-        out = np.zeros(self.n, np.int32)
-        for j, p in enumerate(perm.tolist()):
-            a, b = self.at[p], self.at[p + 1]
-            out[self.rows[a:b]] += np.abs(self.ranks[a:b] - j) - (self.m - j)
+        """Footrule from a query's permutation."""
+        own = np.full(len(self.files), self.m, np.int16)
+        own[perm] = np.arange(self.m, dtype=np.int16)
+        out = np.zeros(self.files.shape[1], np.int32)
+        for file, rank in zip(self.files, own, strict=True):
+            out += np.abs(file - rank)
         return out
 
 
-def search(df: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", is_query: Column, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, sample: int = SAMPLE, shard_rows: int = 16_384, query_rows: int = 2_048) -> DataFrame:
+def search(df: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", is_query: Column, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, sample: int = SAMPLE, shard_rows: int = 16_384, query_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by largest inner product, ties to the smaller id."""
     spark = df.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -87,7 +87,8 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding",
         for b in batches:
             x = np.array(b.column(1).flatten()).reshape(b.num_rows, -1)
             p = permutations(lifted(x, most), pivot, prefix) if b.num_rows else np.zeros((0, 1), np.int16)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(p), pa.list_(pa.int16()))], names=["_id", "_v", "_q", "_p"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], names=["_id", "_v", "_q", "_p"])
 
     indexed = materialize(rows.mapInArrow(index, "_id bigint, _v array<double>, _q boolean, _p array<smallint>"), "ann-index")
     shards, blocks = -(-n // shard_rows), max(1, -(-n_queries // query_rows))
@@ -104,7 +105,7 @@ def search(df: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding",
             return schema.empty_table()
         vectors = vectors.sort_by("_id")
         ids, x = np.array(vectors["_id"]), matrix(vectors, "_v")
-        files, take = Files(matrix(vectors, "_p"), len(pivot)), min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
+        files, take = Files(matrix(vectors, "_p"), len(pivot)), min(len(ids), max(FLOOR * k, int(np.ceil(share * len(ids)))))
         q_ids, q = np.array(queries["_id"]), matrix(queries, "_v")
         zero = np.c_[q, np.zeros(len(q))] / np.sqrt((q * q).sum(axis=1))[:, None]
         out: list[list[np.ndarray]] = [[], [], []]
