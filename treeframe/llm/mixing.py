@@ -7,9 +7,9 @@ limit is the sum of its children's. Dividing top down with those limits is that
 by limit over weight, the full ones are a prefix, which running sums find.
 
 A leaf of S tokens and quota q is taken q div S times whole; the rest is a prefix of the next epoch, whose order is the
-MD5 of seed, epoch and id. The prefix ends at the last document whose running sum is within the rest. The cut is found by
-sums over the first three hexadecimal digits (4096 buckets a leaf), then by a running sum in the one bucket where it
-falls, so no leaf is ever sorted as a whole.
+MD5 of seed, epoch and id. The prefix ends at the last document whose running sum is within the rest. The cut is found
+DIGITS hexadecimal digits of it at a time: sums over the 256 buckets that a leaf's open bucket has, LEVELS times, then a
+running sum in the one bucket that is left, a 16-millionth of the leaf. So no task sorts a leaf, however large.
 
 Nulls: null domain, language or source are values of their own; a null id sorts as the word null; a null text has no
 tokens. Rows without tokens are taken with the prefix they stand in. Repeated rows of an id stand at one place and are
@@ -30,6 +30,7 @@ WEIGHTS = {
     "source": {"src0": 2, "": 1},
 }
 SEED, MAX_EPOCHS, BUDGET_PERCENT = 17, 2, 80
+DIGITS, LEVELS = 2, 3
 
 
 def domain_of(source: Column) -> Column:
@@ -90,29 +91,36 @@ def _place(seed: int, epoch: Column, id_: Column) -> Column:
 
 
 def plan(rows: DataFrame, *, seed: int, weights: dict, max_epochs: int, budget_percent: int) -> DataFrame:
-    """rows: _id, domain, lang, source, _n. A row for each leaf: _d, _l, _s, _epochs (times whole), _cut (bucket), _last (place in it, or null)."""
-    levels = ["domain", "lang", "source"]
+    """rows: _id, domain, lang, source, _n. A row for each leaf: _d, _l, _s, _epochs (times whole), _cut (the first digits of the place of the cut; null: none), _last (place in it, or null)."""
+    levels, leaf = ["domain", "lang", "source"], ["_d", "_l", "_s"]
     leaves = materialize(rows.groupBy(*levels).agg(F.sum("_n").alias("_tokens")), "mix-leaves")
     total = leaves.agg(F.sum("_tokens")).first()[0] or 0
     q = quotas(leaves, levels, weights, F.lit(total * budget_percent // 100).cast("long"), max_epochs)
     whole = F.when(F.col("_tokens") > 0, F.floor(F.col("_q") / F.col("_tokens"))).otherwise(max_epochs).cast("long")
     q = q.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), whole.alias("_epochs"), (F.col("_q") - F.col("_tokens") * whole).alias("_r"))
-    q = materialize(q, "mix-quotas")
-    placed = _with(rows, q).withColumn("_h", _place(seed, F.col("_epochs"), F.col("_id")))
-    buckets = placed.groupBy("_d", "_l", "_s", "_r", F.substring("_h", 1, 3).alias("_k")).agg(F.sum("_n").alias("_n"))
-    run = F.sum("_n").over(Window.partitionBy("_d", "_l", "_s").orderBy("_k"))
-    cut = buckets.withColumn("_sum", run).where("_sum > _r").groupBy("_d", "_l", "_s").agg(F.min(F.struct("_k", (F.col("_sum") - F.col("_n")).alias("_base"))).alias("_m"))
-    cut = materialize(cut.select(*(F.col(c).alias(f"{c}2") for c in ("_d", "_l", "_s")), F.col("_m._k").alias("_cut"), F.col("_m._base").alias("_base")), "mix-cuts")
-    both = _same(q, cut, ("_d", "_l", "_s"), "2", "left").select("_d", "_l", "_s", "_epochs", "_r", "_cut", "_base")
-    both = materialize(both, "mix-both")
-    inside = _with(rows, both).withColumn("_h", _place(seed, F.col("_epochs"), F.col("_id"))).where(F.substring("_h", 1, 3) == F.col("_cut"))
-    inside = inside.withColumn("_sum", F.col("_base") + F.sum("_n").over(Window.partitionBy("_d", "_l", "_s").orderBy("_h")))
-    last = inside.where("_sum <= _r").groupBy("_d", "_l", "_s").agg(F.max("_h").alias("_last"))
-    last = last.select(*(F.col(c).alias(f"{c}2") for c in ("_d", "_l", "_s")), "_last")
-    return materialize(_same(both, last, ("_d", "_l", "_s"), "2", "left").select("_d", "_l", "_s", "_epochs", "_cut", "_last"), "mix-plan")
-
-
-def _same(a: DataFrame, b: DataFrame, keys: tuple[str, ...], suffix: str, how: str) -> DataFrame:
+    open_ = materialize(q.withColumns({"_cut": F.lit(""), "_base": F.lit(0).cast("long")}), "mix-quotas")
+    for level in range(LEVELS):
+        # _base: tokens before the open bucket, whose places begin with _cut
+        placed = _placed(rows, open_, seed)
+        buckets = placed.groupBy(*leaf, "_r", "_base", F.substring("_h", 1, DIGITS * (level + 1)).alias("_k")).agg(F.sum("_n").alias("_n"))
+        run = F.col("_base") + F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_k"))
+        cut = buckets.withColumn("_sum", run).where("_sum > _r").groupBy(*leaf).agg(F.min(F.struct("_k", (F.col("_sum") - F.col("_n")).alias("_before"))).alias("_m"))
+        cut = cut.select(*(F.col(c).alias(f"{c}2") for c in leaf), F.col("_m._k").alias("_next"), F.col("_m._before").alias("_before"))
+        open_ = _same(open_, materialize(cut, "mix-cuts"), leaf, "2", "left")
+        open_ = materialize(open_.select(*leaf, "_epochs", "_r", F.col("_next").alias("_cut"), F.col("_before").alias("_base")), "mix-open")
+    inside = _placed(rows, open_, seed)
+    inside = inside.withColumn("_sum", F.col("_base") + F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_h")))
+    last = inside.where("_sum <= _r").groupBy(*leaf).agg(F.max("_h").alias("_last"))
+    last = last.select(*(F.col(c).alias(f"{c}2") for c in leaf), "_last")
+    return materialize(_same(open_, last, leaf, "2", "left").select(*leaf, "_epochs", "_cut", "_last"), "mix-plan")
+
+
+def _placed(rows: DataFrame, open_: DataFrame, seed: int) -> DataFrame:
+    """The rows of each leaf's open bucket, with their place _h."""
+    return _with(rows, open_.where("_cut IS NOT NULL")).withColumn("_h", _place(seed, F.col("_epochs"), F.col("_id"))).where(F.startswith("_h", "_cut"))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], suffix: str, how: str) -> DataFrame:
     on = F.lit(True)
     for k in keys:
         on = on & a[k].eqNullSafe(b[f"{k}{suffix}"])
@@ -132,7 +140,7 @@ def mixed(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: st
     if carry:  # the choice depends on id and leaf only, so that it is made again beside the texts, which don't move
         rows = df.select(*key, F.lit(None).cast("long").alias("_n"), F.struct(*(F.col(c) for c in carry)).alias("_row"))
     h = _place(seed, F.col("_epochs"), F.col("_id"))
-    k = F.substring(h, 1, 3)
+    k = F.substring(h, 1, DIGITS * LEVELS)
     partly = F.col("_cut").isNull() | (k < F.col("_cut")) | ((k == F.col("_cut")) & F.coalesce(h <= F.col("_last"), F.lit(False)))
     copies = F.least(F.col("_epochs") + F.when(partly, 1).otherwise(0), F.lit(max_epochs)).cast("long")
     return _with(rows, leaves).withColumn("_copies", copies).where("_copies > 0")
