@@ -2,7 +2,8 @@
 
 Each document's words are hashed to signs in a few dimensions; their mean is a point, and its Hilbert index the sort key.
 A range shuffle by (key, id) puts neighbours along the curve together and spreads equal keys by id, so copies of one
-document don't meet in one task. Each task tokenizes its documents once, as they stream by in curve order, and cuts the
+document don't meet in one task. The ranges hold about as many bytes of text each: their bounds come from a sample of
+``SAMPLE`` rows at most, so that all keys are made once. Each task tokenizes its documents once, as they stream by in curve order, and cuts the
 token stream every ``size`` ids. What a task has left at its end goes to sequences of powers of two, which need no
 padding; so no sequence is padded at all. Sequence ids are (task << 40) + number.
 
@@ -23,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeframe.llm.common import table
+from treeframe.llm.common import keys_of_partitions, table
 
 SIZE, DIMS, BITS = 1024, 4, 15
+SAMPLE = 1_000_000
 #: The split pattern of byte-level BPE and the name of its end token (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = "<|endoftext|>"
@@ -185,6 +187,32 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _WORKER: dict[tuple[str, bool], Tokens] = {}
 
 
+def _pairs(keys: pa.Array, ids: pa.Array) -> np.ndarray:
+    """(key, id) as numbers; a null id comes before all others."""
+    out = np.zeros(len(keys), [("k", np.int64), ("i", np.int64)])
+    out["k"], out["i"] = keys.to_numpy(zero_copy_only=False), ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _bounds(sample: pa.Table, parts: int) -> np.ndarray:
+    """The sorted (key, id) at which ranges 1, 2 ... begin; about equal bytes of text lie between them."""
+    pairs = _pairs(sample.column(0).combine_chunks(), sample.column(1).combine_chunks())
+    size = sample.column(2).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) + 1
+    order = np.lexsort((pairs["i"], pairs["k"]))
+    run = np.cumsum(size[order])
+    at = np.searchsorted(run, np.arange(1, parts) * (run[-1] / parts)) if len(run) else np.zeros(0, np.int64)
+    return np.unique(pairs[order][at])
+
+
+def _range(bounds: np.ndarray, keys: pa.Array, ids: pa.Array) -> np.ndarray:
+    """The number of bounds that are not over each (key, id)."""
+    pairs = _pairs(keys, ids)
+    low, high = np.searchsorted(bounds["k"], pairs["k"], "left"), np.searchsorted(bounds["k"], pairs["k"], "right")
+    for i in np.flatnonzero(low < high).tolist():
+        low[i] += np.searchsorted(bounds["i"][low[i] : high[i]], pairs["i"][i], "right")
+    return low
+
+
 def pack(df: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, separator: int = 0, parts: int | None = None, added: bool = False) -> DataFrame:
     """A row for each piece. tokenizer: path of a tokenizers file, on every executor; added: map its added tokens (else plain text)."""
     spark = df.sparkSession
@@ -203,9 +231,18 @@ def pack(df: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text: str = "
         if rows := list(packer.finish()):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_SCHEMA)
 
-    rows = df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(keyed, "_k bigint, _id bigint, _t string")
+    rows = df.select(F.col(id_col).cast("long"), F.col(text))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "_k", "_id").sortWithinPartitions("_k", "_id").select("_id", "_t")
+    share = min(1.0, min(SAMPLE / 2, 100 * parts) / max(1, rows.count()))
+    bounds = _bounds(rows.sample(share, seed=3).mapInArrow(keyed, "_k bigint, _id bigint, _t string").select("_k", "_id", F.octet_length("_t")).limit(SAMPLE).toArrow(), parts)
+    partition = keys_of_partitions(parts)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in keyed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(partition[_range(bounds, b.column(0), b.column(1))]), *b.columns], names=["_p", *b.schema.names])
+
+    rows = rows.mapInArrow(dealt, "_p int, _k bigint, _id bigint, _t string")
+    dealt = rows.repartition(parts, "_p").sortWithinPartitions("_p", "_k", "_id").select("_id", "_t")
     return dealt.mapInArrow(packed, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
