@@ -399,7 +399,10 @@ def _marks(d: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.R
 
 
 def _parted(b: pa.RecordBatch) -> pa.RecordBatch:
-    """Segments of a common anchor, cut into STEP starts each by their distance from it, keyed by the bytes that such starts share."""
+    """Segments of a common anchor, cut into STEP starts each by their distance from it, keyed by the bytes that such starts share.
+
+    Of equal parts only those of the least document keep their bytes; the others are known to repeat it.
+    """
     segs = b.column(5).to_pylist()
     begin = np.cumsum([0, *map(len, segs)])[:-1]
     place = (_anchors(np.frombuffer(b"".join(segs), np.uint8))[0][begin] - begin).tolist()
@@ -410,7 +413,12 @@ def _parted(b: pa.RecordBatch) -> pa.RecordBatch:
             common = seg[p - STEP * k : p - STEP * k - STEP + 1 + LENGTH]
             out.append((xxhash.xxh64_intdigest(common, k) - (1 << 63), d, sig, start + first, last - first + 1, seg[first : last + LENGTH]))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "d", "sig", "start", "n", "seg"])
+    made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "d", "sig", "start", "n", "seg"])
+    key, d = (made.column(i).to_numpy() for i in range(2))
+    code = np.unique(np.c_[made.column(5).dictionary_encode().indices.to_numpy(), key], axis=0, return_inverse=True)[1].ravel()
+    known = d > _least(code, d)[code]
+    segs = pc.if_else(pa.array(known), pa.scalar(None, pa.binary()), made.column(5))
+    return pa.RecordBatch.from_arrays([pa.array(np.where(known, d, key)), *made.columns[1:5], segs], names=made.schema.names)
 
 
 def _matcher(most: int | None, block: int = 1 << 20):
@@ -421,16 +429,21 @@ def _matcher(most: int | None, block: int = 1 << 20):
         crowded, fresh, names = np.zeros(0, np.int64), 0, ["key", "d", "sig", "start", "n", "seg"]
 
         def pass_on(t: pa.Table | pa.RecordBatch, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for x in pa.Table.from_batches([t] if isinstance(t, pa.RecordBatch) else t.to_batches()).filter(pa.array(hot)).combine_chunks().to_batches(max_chunksize=4096):
+            for x in pa.Table.from_batches([t] if isinstance(t, pa.RecordBatch) else t.to_batches()).filter(pa.array(hot)).combine_chunks().to_batches(max_chunksize=1 << 16):
                 if x.num_rows:
-                    yield _parted(x)
+                    yield from settled(_parted(x))
 
-        for b in batches:
-            d, sig, start, n = (b.column(i).to_numpy() for i in (1, 2, 3, 4))
+        def settled(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """Marks of the known rows, and the others."""
             known = b.column(5).is_null().to_numpy(zero_copy_only=False)
             if known.any():
-                yield _marks(d[known], sig[known], start[known], start[known] + n[known] + LENGTH - 1)
-                b = b.filter(pa.array(~known))
+                d, sig, start, n = (b.column(i).to_numpy()[known] for i in (1, 2, 3, 4))
+                yield _marks(d, sig, start, start + n + LENGTH - 1)
+            yield b.filter(pa.array(~known))
+
+        for b in batches:
+            *marks, b = settled(b)
+            yield from marks
             if most and len(crowded) and b.num_rows:
                 hot = np.isin(b.column(0).to_numpy(), crowded)
                 yield from pass_on(b, hot)
