@@ -7,12 +7,18 @@ Both are moved outward over adjoining headings and unlinked blocks of the same c
 and all lines between are kept, links too. If the page names its article (article, main) and that holds a third of the
 unlinked text at least, its lines have ``BONUS`` times the weight; smaller ones, such as teaser cards, have no bonus.
 
+Boilerplate is named by its element, its role or a word of its class or id. A class of several words, such as
+``post-comments``, counts by its words, but not one that only says what is in the element (``has-sidebar``) or that belongs
+to the article (``entry-header``); and a name of layout, not of comments, is no reason to drop the greater part of the
+page's text. Tags are found in one pass: a quote that a tag does not close ends where the tag would without it.
+
 Nulls: a null html is empty, and its text is the empty string. Repeated rows, null ids and urls are carried. Pages are
 processed whole; memory is that of one Arrow batch.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import re
 from collections import Counter
@@ -29,7 +35,9 @@ from treeframe.llm.common import table
 WINDOW = 3
 #: An article (or main) with 1 / SHARE of the page's unlinked text has BONUS times its weight.
 SHARE, BONUS = 3, 3
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STEP = re.compile(r">|=[ \t\n\r\f]*([\"'])")
+_RAW = frozenset("script style noscript template svg iframe textarea select title object math".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROPPED = frozenset("nav footer aside form menu dialog button label fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,13 +48,88 @@ _CONTAINERS = _ARTICLES | frozenset("div section td th center".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _noisy(attributes: str) -> bool:
+#: Words of a class that say the rest is about something else, words of an article's own parts, and noise that may be long.
+_ABOUT, _OWN, _TALK = frozenset("has have with no without is not show hide".split()), frozenset("entry article post story content section".split()), frozenset("comment comments commentlist disqus remark remarks replies reply respond".split())
+
+
+def _noisy(attributes: str) -> set[str]:
+    """The words of noise that name an element."""
+    found: set[str] = set()
     if "=" not in attributes:
-        return False
+        return found
     for m in _NAMED.finditer(attributes):
-        if not _NOISE.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            hit = _NOISE.intersection(words)
+            if len(words) > 1 and (words[0] in _ABOUT or hit == {"header"} and not _OWN.isdisjoint(words)):
+                continue
+            found |= hit
+    return found
+
+
+class _Token(NamedTuple):
+    start: int
+    end: int
+    name: str  # of a tag, else empty
+    closing: bool
+    attributes: str
+    raw: str  # the name of an element that was taken as a whole
+    text: str  # of a CDATA section
+
+
+def _tokens(page: str) -> list[_Token]:
+    """Tags, comments, declarations and raw elements, in one pass."""
+    out: list[_Token] = []
+    last, at = page.rfind(">"), 0
+    ends: dict[str, list[int]] = {}
+
+    def raw_end(name: str, at: int) -> int:
+        """Where the element's end tag ends, or the page."""
+        if name not in ends:
+            ends[name] = [m.end() for m in re.finditer(rf"</{name}\s*>", page, re.I)][::-1]
+        stops = ends[name]
+        while stops and stops[-1] <= at:
+            stops.pop()
+        return stops[-1] if stops else len(page)
+
+    while m := _OPEN.search(page, at):
+        start, word = m.start(), m[0]
+        if word == "<!--":
+            k = page.find("-->", start + 4)
+            at = len(page) if k < 0 else k + 3
+            out.append(_Token(start, at, "", False, "", "", ""))
+        elif word == "<![CDATA[":
+            k = page.find("]]>", start + 9)
+            at = len(page) if k < 0 else k + 3
+            out.append(_Token(start, at, "", False, "", "", page[start + 9 : len(page) if k < 0 else k]))
+        elif start > last:
+            break  # no tag ends any more; the rest is text
+        elif not m[2]:
+            at = page.find(">", start) + 1
+            out.append(_Token(start, at, "", False, "", "", ""))
+        else:
+            at = m.end()
+            while (step := _STEP.search(page, at)) and step[1]:
+                close = page.find(step[1], step.end())
+                inner = page[step.end() : close] if close >= 0 else ""
+                gt = inner.find(">")
+                if close < 0 or 0 <= gt < inner.rfind("<") and "<" not in inner[:gt]:
+                    at = page.find(">", step.end())  # the quote is never closed
+                    if at < 0:
+                        at = last
+                    step = None
+                    break
+                at = close + 1
+            stop = step.start() if step else max(at, m.end())
+            if page[stop : stop + 1] != ">":
+                stop = page.find(">", m.end())
+            name, at = m[2].lower(), stop + 1
+            if name in _RAW and not m[1]:
+                at = raw_end(name, at)
+                out.append(_Token(start, at, "", False, "", name, ""))
+            else:
+                out.append(_Token(start, at, name, bool(m[1]), page[m.end() : stop], "", ""))
+    return out
 
 
 def _collapsed(s: str) -> str:
@@ -96,57 +179,77 @@ class _Lines:
         return any(name in _ARTICLES for name, _ in self.open)
 
 
-def _ends(tokens: list[re.Match]) -> dict[int, int]:
+def _ends(tokens: list[_Token]) -> dict[int, int]:
     """Offsets of start tags and of their end tags, where those stand in the same article (or main)."""
     open_: dict[str, list[tuple[int, int]]] = {}  # by name: offsets of the start tag and of the article around it
     articles: list[tuple[str, int]] = []
     out = {}
-    for m in tokens:
-        name = (m[3] or "").lower()
-        if not name or name in _VOID or m[4].endswith("/"):
+    for t in tokens:
+        name = t.name
+        if not name or name in _VOID or t.attributes.endswith("/"):
             continue
         around = articles[-1][1] if articles else -1
         if name in _ARTICLES:
-            if not m[2]:
-                articles.append((name, m.start()))
+            if not t.closing:
+                articles.append((name, t.start))
             elif (k := next((k for k in range(len(articles) - 1, -1, -1) if articles[k][0] == name), -1)) >= 0:
-                out[articles[k][1]] = m.start()
+                out[articles[k][1]] = t.start
                 del articles[k:]
-        elif not m[2]:
-            open_.setdefault(name, []).append((m.start(), around))
+        elif not t.closing:
+            open_.setdefault(name, []).append((t.start, around))
         elif stack := open_.get(name):
             while stack and stack[-1][1] > around:
                 stack.pop()  # its article ended first
             if stack and stack[-1][1] == around:
-                out[stack.pop()[0]] = m.start()
+                out[stack.pop()[0]] = t.start
     return out
 
 
+class _Shares:
+    """How much of the page's text stands between two offsets."""
+
+    def __init__(self, page: str, tokens: list[_Token]):
+        self.at, self.sum = [0], [0]
+        before, link = 0, 0
+        for t in tokens:
+            own = 0 if link else len(page[before : t.start].strip())
+            self.at.append(t.start), self.sum.append(self.sum[-1] + own)
+            before = t.end
+            if t.name == "a":
+                link = not t.closing
+            elif t.name in _BLOCKS:
+                link = 0
+        self.all = self.sum[-1] + len(page[before:].strip())
+
+    def mostly(self, a: int, b: int) -> bool:
+        upto = lambda x: self.sum[bisect.bisect_right(self.at, x) - 1]
+        return 2 * (upto(b) - upto(a)) > self.all
+
+
 def lines_of(page: str) -> list[_Line]:
     """The lines that have text."""
     out = _Lines()
-    tokens, ends = list(_TOKEN.finditer(page)), None
+    tokens, ends, shares = _tokens(page), None, None
     skip, depth, until = "", 0, -1  # the dropped element that is open, how many of its name, its end tag's offset
     link, tag, at = 0, "", 0
-    for m in tokens:
-        if m.start() > at and not skip:
-            out.text(page[at : m.start()], link > 0)
-        at = m.end()
-        name = (m[3] or "").lower()
+    for t in tokens:
+        if t.start > at and not skip:
+            out.text(page[at : t.start], link > 0)
+        at, name, closing = t.end, t.name, t.closing
         if not name:
-            if m[0][:9].upper() == "<![CDATA[" and not skip:
-                out.text(m[0][9:].removesuffix("]]>"), link > 0)
-            elif m[1] and not skip and m[1].lower() not in ("svg", "math"):
+            if t.text and not skip:
+                out.text(t.text, link > 0)
+            elif t.raw and not skip and t.raw not in ("svg", "math"):
                 out.text(" ", False)
             continue
-        closing = bool(m[2])
+        empty = t.attributes.endswith("/")
         if skip and until >= 0:
-            if m.start() == until:
+            if t.start == until:
                 skip = ""
             continue
         if skip:
             if name == skip:
-                depth += -1 if closing else 0 if m[4].endswith("/") else 1
+                depth += -1 if closing else 0 if empty else 1
                 if not depth:
                     skip = ""
                 continue
@@ -160,11 +263,16 @@ def lines_of(page: str) -> list[_Line]:
             out.text(" ", False)
         elif name == "a":
             link = 0 if closing else 1
-        if not closing and name not in _VOID and name not in ("main", "body", "html", "head") and (name in _DROPPED or name == "header" and not out.inside or _noisy(m[4])) and not m[4].endswith("/"):
-            if name not in _BLOCKS and name not in _DROPPED and name not in ("span", "ins"):
+        dropped = not closing and name not in _VOID and name not in ("main", "body", "html", "head") and not empty and (name in _DROPPED or name == "header" and not out.inside)
+        if not dropped and not closing and not empty and name not in _VOID and name not in ("main", "body", "html", "head") and (words := _noisy(t.attributes)):
+            if name not in _BLOCKS and name not in ("span", "ins"):
                 continue
             ends = _ends(tokens) if ends is None else ends
-            skip, depth, until = name, 1, ends.get(m.start(), -1)
+            shares = _Shares(page, tokens) if shares is None else shares
+            dropped = not (words.isdisjoint(_TALK) and name != "article" and t.start in ends and shares.mostly(t.start, ends[t.start]))
+        if dropped:
+            ends = _ends(tokens) if ends is None else ends
+            skip, depth, until = name, 1, ends.get(t.start, -1)
         elif closing and name in ("body", "html"):
             out.open.clear()
         elif name in _CONTAINERS:
