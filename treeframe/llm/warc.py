@@ -3,11 +3,14 @@
 A response record (headers and an HTTP message) gives two records: ``metadata`` with the facts of the payload as
 application/warc-fields, and ``conversion`` with its visible text. Both carry WARC-Refers-To (the response's record id),
 the response's target URI, date and payload digest, and a block digest of their own; the metadata repeats the source's
-headers and those of its HTTP message. Payloads are decoded by the charset that the Content-Type names. Record ids are UUIDs (version 5) of the source id and the kind, so a task that runs again writes the same ids.
-Records are built row by row where the rows are: no shuffle.
+headers, its payload digest among them, and those of its HTTP message. Payloads are decoded by the Content-Encoding (gzip,
+deflate) and the charset that the headers name. Header names match in any case; of repeated ones the last counts. Record
+ids are UUIDs (version 5) of the source id (or, without one, of the source's digest) and the kind, so a task that runs
+again writes the same ids. Records are built row by row where the rows are: no shuffle.
 
 Nulls: a null html or url is empty; an empty payload gives an empty conversion. A response without a record id gets the
-refers-to of the empty id. Repeated rows give repeated records. Malformed responses (no blank line) have all as payload.
+refers-to of the empty id. Repeated rows give repeated records. Malformed responses (no blank line) have all as payload;
+a Content-Length that is no number, or is over the block, is that of the block; an encoding that fails leaves the bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import hashlib
 import html as html_lib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,12 +63,34 @@ def pairs(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def value(headers: list[tuple[str, str]], name: str, default: str = "") -> str:
+    """The last header of that name, in any case."""
+    return next((v for k, v in reversed(headers) if k.lower() == name.lower()), default)
+
+
 def fields(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Headers, in order (the version line first, under ""), and block of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "replace").split("\r\n")
     headers = [("", version), *pairs(lines)]
-    return headers, rest[: int(dict(headers).get("Content-Length", len(rest)))]
+    size = value(headers, "Content-Length")
+    return headers, rest[: int(size)] if size.isascii() and size.isdigit() else rest
+
+
+def decoded(payload: bytes, encoding: str) -> bytes:
+    """The payload after its Content-Encoding; unknown or broken ones leave it."""
+    for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                payload = zlib.decompressobj(47).decompress(payload)
+            elif name == "deflate":
+                try:
+                    payload = zlib.decompressobj(15).decompress(payload)
+                except zlib.error:
+                    payload = zlib.decompressobj(-15).decompress(payload)
+        except zlib.error:
+            break
+    return payload
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -88,7 +114,9 @@ def charset(http: list[tuple[str, str]]) -> str:
 
 def visible(page: str) -> str:
     """Plain text: hidden parts and tags away, blocks on lines, references decoded, white space in a line made one space."""
-    t = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    stop = page.rfind(">") + 1  # beyond it no tag ends, and a "<" is text
+    t = _HIDDEN.sub(" ", page[:stop] + ("" if "<!--" not in page[stop:] else "<!--"))
+    t = _TAG.sub("", _BREAK.sub("\n", t)) + page[stop:].partition("<!--")[0]
     lines = (" ".join(x.split()) for x in html_lib.unescape(t).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -104,23 +132,23 @@ def response(url: str | None, html: str | None, date: str = CRAWLED) -> bytes:
 def derive(source: bytes | None) -> list[dict]:
     """The metadata and the conversion record of a response record, as rows."""
     listed, block = fields(source or b"")
-    headers = dict(listed)
+    own = lambda name: value(listed, name)
     head, blank, payload = block.partition(b"\r\n\r\n")
     if not blank:
         head, payload = b"", block
-    sid = headers.get("WARC-Record-ID", "")
+    sid, uri, date = own("WARC-Record-ID"), own("WARC-Target-URI"), own("WARC-Date")
     status, *lines = head.decode("utf-8", "replace").split("\r\n")
     http = pairs(lines)
-    page = payload.decode(charset(http), "replace")
+    page = decoded(payload, value(http, "Content-Encoding")).decode(charset(http), "replace")
     text = visible(page)
-    counts = {"payload-bytes": len(payload), "text-chars": len(text), "links": len(re.findall(r"<a\s[^>]*href", page, re.I)), "http-status": (status.split(" ") + ["", ""])[1]}
-    facts = [*counts.items(), *((f"source-{k.lower()}", v) for k, v in listed if k and k != "Content-Length"), *((f"http-header-{k.lower()}", v) for k, v in http if k)]
+    counts = {"payload-bytes": len(payload), "text-chars": len(text), "links": len(re.findall(r"<a\s[^<>]*href", page, re.I)), "http-status": (status.split(" ") + ["", ""])[1]}
+    facts = [*counts.items(), *((f"source-{k.lower()}", v) for k, v in listed if k and k.lower() != "content-length"), *((f"http-header-{k.lower()}", v) for k, v in http if k)]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")), "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"))}
-    ids = {k: record_id(f"{k} of {sid}") for k in blocks}
+    ids = {k: record_id(f"{k} of {sid or digest(source or b'')}") for k in blocks}
     rows = []
     for kind, (type_, data) in blocks.items():
-        own = {"WARC-Record-ID": ids[kind], "WARC-Refers-To": sid, "WARC-Refers-To-Target-URI": headers.get("WARC-Target-URI", ""), "WARC-Refers-To-Date": headers.get("WARC-Date", ""), "WARC-Date": headers.get("WARC-Date", ""), "WARC-Target-URI": headers.get("WARC-Target-URI", ""), "Content-Type": type_, "WARC-Block-Digest": digest(data), "WARC-Payload-Digest": digest(payload) if kind == "metadata" else digest(data), "WARC-Concurrent-To": ids["conversion" if kind == "metadata" else "metadata"]}
-        rows.append({"record_type": kind, "record_id": ids[kind], "refers_to": sid, "target_uri": own["WARC-Target-URI"], "warc_date": own["WARC-Date"], "content_type": type_, "content_length": len(data), "block_digest": own["WARC-Block-Digest"], "source_digest": headers.get("WARC-Payload-Digest") or digest(payload), "record": record(kind, own, data)})
+        made = {"WARC-Record-ID": ids[kind], "WARC-Refers-To": sid, "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date, "WARC-Date": date, "WARC-Target-URI": uri, "Content-Type": type_, "WARC-Block-Digest": digest(data), "WARC-Concurrent-To": ids["conversion" if kind == "metadata" else "metadata"]}
+        rows.append({"record_type": kind, "record_id": ids[kind], "refers_to": sid, "target_uri": uri, "warc_date": date, "content_type": type_, "content_length": len(data), "block_digest": made["WARC-Block-Digest"], "source_digest": own("WARC-Payload-Digest") or digest(payload), "record": record(kind, made, data)})
     return rows
 
 
