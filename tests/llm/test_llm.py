@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from treeframe.llm import chat, extraction, licenses, mixing, neighbours, packing, quality, repeats, simhash, warc
+from treeframe.llm import chat, common, extraction, licenses, mixing, neighbours, packing, quality, repeats, simhash, warc
 from treeframe.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -243,6 +243,77 @@ def test_warc_keeps_repeated_and_http_headers_and_the_charset():
         assert line in meta.split("\r\n")
 
 
+def test_warc_of_odd_headers():
+    made = [warc.derive(x) for x in (b"WARC/1.1\r\nContent-Length: x\r\n\r\nbody", b"WARC/1.1\r\ncontent-length: -3\r\nwarc-record-id: <i>\r\n\r\nbody two", b"\r\n\r\n", b"WARC/1.1", b"")]
+    assert [warc.parse(r[1]["record"])[1] for r in made] == [b"body", b"body two", b"", b"", b""]
+    assert [r[0]["refers_to"] for r in made] == ["", "<i>", "", "", ""]
+    assert len({x["record_id"] for r in made[:4] for x in r}) == 8
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\nCONTENT-ENCODING: gzip\r\n\r\n" + gzip.compress(b"<p>packed")
+    assert warc.parse(warc.derive(b"WARC/1.1\r\n\r\n" + block)[1]["record"])[1] == b"packed"
+    assert warc.parse(warc.derive(b"WARC/1.1\r\n\r\n" + block[:44])[1]["record"])[1] == b""
+
+
+def independent(record):
+    """Headers and block of a record, read apart from the operator's own reader."""
+    import email
+
+    at = record.index(b"\r\n\r\n")
+    line, _, rest = record[:at].partition(b"\r\n")
+    head = email.message_from_bytes(rest + b"\r\n\r\n")
+    size = int(head["Content-Length"])
+    assert line == b"WARC/1.1" and record[at + 4 + size :] == b"\r\n\r\n"
+    return head, record[at + 4 : at + 4 + size]
+
+
+def test_warc_records_by_an_independent_reader(spark):
+    import base64
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.hidden = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            self.lines[-1] += " " * (tag == "script")  # what is hidden parts words
+            if tag in ("p", "div", "h1", "li"):
+                self.lines.append("")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+            if tag in ("p", "div", "h1", "li"):
+                self.lines.append("")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.lines[-1] += data
+
+    rnd = random.Random(26)
+    pages = []
+    for i in range(40):
+        parts = [rnd.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}", "<h1>{}</h1>", "<script>{}</script>", "<b>{}</b> "]).format(html.escape(prose(rnd, rnd.randrange(6)) + rnd.choice(["", " & <x> é"]))) for _ in range(rnd.randrange(12))]
+        pages.append((i, f"http://h/{i}", "".join(parts)))
+    made = warc.responses(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    source = {r.page_id: independent(bytes(r.record)) for r in made.collect()}
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    rows = warc.derivatives(made, id_col="page_id").collect()
+    assert len(rows) == 2 * len(pages)
+    for r in rows:
+        head, block = independent(bytes(r.record))
+        old, message = source[r.page_id]
+        assert head["WARC-Refers-To"] == old["WARC-Record-ID"] and head["WARC-Block-Digest"] == sha(block)
+        assert old["WARC-Payload-Digest"] == sha(message.split(b"\r\n\r\n", 1)[1]) == r.source_digest
+        if r.record_type == "conversion":
+            reader = Text()
+            reader.feed(pages[r.page_id][2])
+            assert block.decode().split("\n") == ([x for x in (" ".join(x.split()) for x in reader.lines) if x] or [""])
+        else:
+            assert f"source-warc-payload-digest: {old['WARC-Payload-Digest']}" in block.decode().split("\r\n")
+
+
 # repeats
 
 
@@ -319,6 +390,53 @@ def test_matching_statistics_of_the_run_index():
                 assert index.owner_at(np.array([r]))[0] == min(i for i, s in enumerate(strings) if part in s)
 
 
+@pytest.mark.parametrize("n", [1, 12, 211])
+def test_keys_of_partitions(spark, n):
+    keys = common.keys_of_partitions(n)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+    assert sorted(r.p for r in df.collect()) == list(range(n))
+
+
+def test_statistics_of_foreign_strings():
+    rnd = random.Random(22)
+    base = bytes(rnd.choice(b"abc") for _ in range(70))
+    strings, foreign = [], []
+    for to in (strings, foreign):
+        for _ in range(25):
+            x = bytearray(base)
+            for _ in range(rnd.randrange(4)):
+                x[rnd.randrange(70)] = rnd.choice(b"abcz" if to is foreign else b"abc")
+            to.append(bytes(x[rnd.randrange(10) : 60 + rnd.randrange(10)]))
+    index = repeats.RunIndex(strings, np.arange(len(strings)))
+    size = np.array([len(x) + 1 for x in foreign])
+    end = np.cumsum(size) - 1
+    begin = end + 1 - size
+    text = np.frombuffer(b"\0".join([*foreign, b""]), np.uint8).astype(np.int16) + np.int16(1)
+    got = {(w, p - begin[w]): n for who, at, ns, _ in index.stream(begin, end, text) for w, p, n in zip(who.tolist(), at.tolist(), ns.tolist(), strict=True)}
+    want = {(w, p): max(k for k in range(len(x) - p + 1) if any(x[p : p + k] in s for s in strings)) for w, x in enumerate(foreign) for p in range(len(x))}
+    assert got == want
+    early = {(w, p - begin[w]): n for who, at, ns, _ in index.stream(begin, end, text, 50) for w, p, n in zip(who.tolist(), at.tolist(), ns.tolist(), strict=True)}
+    assert {k: n for k, n in early.items() if n >= 50} == {k: n for k, n in want.items() if n >= 50} and len(early) < len(got)
+
+
+@pytest.mark.parametrize("listed", [True, False])
+@pytest.mark.parametrize("size,kinds", [(26, 600), (40, 600), (49, 600), (120, 3)])
+def test_repeats_of_a_crowded_anchor(spark, size, kinds, listed):
+    rnd = random.Random(23)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    phrase = "a common phrase, with its own letters: " + word(120)
+    around = [(word(60), word(60)) for _ in range(kinds)]
+    texts = [a + phrase[:size] + b for a, b in (rnd.choice(around) for _ in range(600))]
+    texts += [a[-12:] + phrase[:size] + b[:25] + word(9) for a, b in (rnd.choice(around) for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 25)
+    try:
+        rows = repeats.removals(df, most=20, listed=listed).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r[0]: tuple(r[1:]) for r in rows} == brute_removals([(i, t.encode()) for i, t in enumerate(texts)])
+
+
 def test_without_repeats_keeps_columns(spark):
     t = prose(random.Random(11), 60)
     df = docs(spark, [t, t, "new words " + t + " end of it", None, "é" * 40])
@@ -379,9 +497,61 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.search(df.where("vec_id = 3000"), is_query=F.lit(True)).count() == 0
 
 
+def test_neighbours_rerank_a_tenth(spark):
+    rnd = np.random.default_rng(24)
+    x = rnd.normal(size=(20_000, 64))
+    seen = []
+
+    class Counted(neighbours.Files):
+        def distances(self, perm):
+            out = super().distances(perm)
+            seen.append(len(out))
+            return out
+
+    # the operator's own parts, on one shard: the share that is reranked holds the nearest
+    most = np.sqrt((x * x).sum(axis=1)).max()
+    lifted = neighbours.lifted(x, most)
+    pivots = lifted[rnd.permutation(len(x))[: neighbours.PIVOTS]]
+    files = Counted(neighbours.permutations(lifted, pivots, neighbours.PREFIX), len(pivots))
+    hits, take = 0, int(neighbours.SHARE * len(x))
+    assert 2 * take < len(x)
+    for i in range(0, 20_000, 400):
+        zero = np.r_[x[i] / np.linalg.norm(x[i]), 0]
+        distance = files.distances(neighbours.permutations(zero[None], pivots, neighbours.PREFIX)[0])
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(np.argpartition(distance, take)[:take].tolist()))
+    assert hits >= 0.9 * 20 * 50 and len(seen) == 50
+    rows = [(i, v.tolist()) for i, v in enumerate(x[:6000])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), is_query=F.col("vec_id") % 200 == 0, shard_rows=3000).collect()
+    hits = 0
+    for q in range(0, 6000, 200):
+        score = x[:6000] @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.9 * 20 * 30
+
+
 # packing
 
 
+def test_ranges_spread_equal_keys_by_id():
+    import pyarrow as pa
+
+    rnd = random.Random(25)
+    rows = [(rnd.choice([1, 1, 1, 5, 9]), rnd.choice([None, *range(50)]), rnd.randrange(100)) for _ in range(500)]
+    sample = pa.table({"k": pa.array([r[0] for r in rows], pa.int64()), "i": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
+    bounds = packing._bounds(sample, 8)
+    got = packing._range(bounds, sample.column(0).combine_chunks(), sample.column(1).combine_chunks()).tolist()
+    pairs = [(k, -(1 << 63) if i is None else i) for k, i, _ in rows]
+    assert got == [sum(tuple(b) <= p for b in bounds.tolist()) for p in pairs]
+    size = {}
+    for (_, _, n), g in zip(rows, got, strict=True):
+        size[g] = size.get(g, 0) + n
+    assert len(size) == 8 and max(size.values()) < 2 * sum(size.values()) / 8
+    assert len(packing._bounds(sample.slice(0, 0), 8)) == 0
+
+
 def test_hilbert_order_visits_each_cell_once_and_moves_by_one():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * dims, indexing="ij")).reshape(dims, -1).T
@@ -494,6 +664,58 @@ def test_extraction_weighs_articles_and_drops_noise_around_them():
     assert extraction.main_text(f"<main><h1>Title</h1><article>{body}</article></main>") == "\n".join(["Title", *own])
 
 
+def test_extraction_of_unclosed_tags_in_one_pass():
+    import time
+
+    for odd in ("<a ", "<a x='", '<a x="', "<a x=\">", "<script", "<!--", "<p title='>", "<![CDATA[", "</"):
+        began = time.time()
+        extraction.main_text("<p>one</p>" + odd * 120_000)
+        extraction.main_text("<p>one</p>" + odd * 120_000 + ">")
+        warc.visible("<p>one</p>" + odd * 120_000)
+        assert time.time() - began < 6, odd
+    assert extraction.main_text('<p>one <a href="x>two</a> three</p><p class="b">four</p>') == "one two three\nfour"
+    assert extraction.main_text('<p data-x="a > b" title="<b>">one</p><p>2 < 3</p>') == "one\n2 < 3"
+
+
+def test_extraction_reads_class_names_word_by_word():
+    rnd = random.Random(27)
+    own = [prose(rnd, 60) for _ in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in own)
+    said = prose(rnd, 200)
+    for page in (
+        f"<div class='layout has-sidebar'>{body}<div class='left-sidebar'><p>{said[:300]}</p></div></div>",
+        f"<div class='page-header-layout'><div>{body}</div></div><div class='site-footer'><p>{said[:300]}</p></div>",
+        f"<div>{body}</div><section class='post-comments'><p>{said}</p><p>{said}</p></section>",
+    ):
+        assert extraction.main_text(page) == "\n".join(own), page[:40]
+    page = f"<article><div class='entry-header'><h1>Head</h1></div>{body}<div class='share'>share me</div></article>"
+    assert extraction.main_text(page) == "\n".join(["Head", *own])
+
+
+def brute_main(lines, window=3):
+    """Surge and dive over (text, weight) lines of one container, from their definition."""
+    sums = [sum(w for _, w in lines[i : i + window]) for i in range(len(lines))]
+    if not any(sums):
+        return ""
+    limit = min(120, 0.3 * max(sums))
+    inside = [i for i, (t, w) in enumerate(lines) if 3 * w >= limit and any(sums[j] >= limit for j in range(max(0, i - window + 1), i + 1))]
+    return inside[0], inside[-1]
+
+
+def test_extraction_against_brute_line_blocks():
+    rnd = random.Random(28)
+    for _ in range(200):
+        lines = []
+        for _ in range(rnd.randrange(1, 25)):
+            text = prose(rnd, rnd.choice([1, 2, 5, 30, 60]))
+            lines.append((text, 0 if rnd.random() < 0.5 else len(text)))
+        # each line in a container of its own, so that nothing adjoins
+        page = "".join(f"<div><p>{t if w else f'<a href=x>{t}</a>'}</p></div>" for t, w in lines)
+        edges = brute_main(lines)
+        want = "" if edges == "" else "\n".join(t for t, _ in lines[edges[0] : edges[1] + 1])
+        assert extraction.main_text(page) == want
+
+
 # mixing
 
 
