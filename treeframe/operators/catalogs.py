@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeframe.functions.uri import resolve
@@ -16,6 +17,9 @@ from treeframe.sources.xml import Limits, Reader
 _ENTRIES = {"system": ("systemId", "uri"), "public": ("publicId", "uri"), "uri": ("name", "uri"), "rewriteSystem": ("systemIdStartString", "rewritePrefix"), "rewriteURI": ("uriStartString", "rewritePrefix"), "systemSuffix": ("systemIdSuffix", "uri"), "uriSuffix": ("uriSuffix", "uri"), "delegatePublic": ("publicIdStartString", "catalog"), "delegateSystem": ("systemIdStartString", "catalog"), "delegateURI": ("uriStartString", "catalog"), "nextCatalog": ("", "catalog")}
 
 
+MOST_PATTERNS = 10_000
+
+
 def parse_oasis(text: str, base: str = "") -> list[tuple[str, str, str, bool]]:
     """(kind, key, target, prefer public) of each entry, targets resolved against xml:base."""
     rows = Reader(Limits(allow_doctype=True)).read(text)
@@ -81,24 +85,36 @@ def rules(spark: SparkSession, entries: list[tuple[str, str, str, bool]]) -> Dat
 
 
 def resolve_identifiers(ids: DataFrame, table: DataFrame) -> DataFrame:
-    """ids: id, public, system, uri (any may be null). Adds target, the uri that the catalog gives, or null.
+    """ids: id, public, system, uri (any may be null, rows may repeat). Adds target, the uri that the catalog gives, or null.
 
     Exact rules come first, then the longest rewritten start, then the longest end; public identifiers count if there is
-    no system identifier or the entry prefers them.
+    no system identifier or the entry prefers them. Exact rules are joined by their key. Rules on starts and ends, of which
+    a catalog has ``MOST_PATTERNS`` at most, are a literal that each row is held against.
     """
     s, u, p = F.col("system"), F.col("uri"), F.regexp_replace(F.btrim("public", F.lit(" \t\n\r")), r"\s+", " ")
-    k, rule = F.col("key"), F.col("rule")
-    hit = (
-        F.when((rule == "system") & (s == k), 0)
-        .when((rule == "uri") & (u == k), 0)
-        .when((rule == "rewriteSystem") & F.startswith(s, k), 1)
-        .when((rule == "rewriteURI") & F.startswith(u, k), 1)
-        .when((rule == "systemSuffix") & F.endswith(s, k), 2)
-        .when((rule == "uriSuffix") & F.endswith(u, k), 2)
-        .when((rule == "public") & (p == k) & (F.col("prefer") | s.isNull()), 3)
-    )
-    # a catalog is a list of rules, whatever the number of identifiers
-    found = ids.join(table, hit.isNotNull(), "left").withColumn("_hit", hit)
-    out = F.when(F.col("_hit") == 1, F.concat("target", F.substring(F.when(rule == "rewriteSystem", s).otherwise(u), F.length(k) + 1, F.lit(1 << 20)))).otherwise(F.col("target"))
-    best = Window.partitionBy("id").orderBy("_hit", F.length("key").desc(), "rank")
-    return found.withColumn("_to", out).withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*ids.columns, F.col("_to").alias("target"))
+    patterns = table.where(F.col("rule").isin("rewriteSystem", "rewriteURI", "systemSuffix", "uriSuffix")).limit(MOST_PATTERNS + 1).collect()
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"over {MOST_PATTERNS} rules on starts and ends")
+    out = ids
+
+    def exact(name: str, value: Column, where: Column, as_: str) -> None:
+        nonlocal out
+        rule = table.where((F.col("rule") == name) & where).groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("rank", "target")).alias(as_))
+        out = out.join(rule, value == F.col("_key"), "left").drop("_key")
+
+    def longest(name: str, value: Column) -> Column:
+        """The rule on the longest start or end: a struct of its length, its rank (negative) and what it gives."""
+        own = sorted((r for r in patterns if r.rule == name), key=lambda r: (-len(r.key), r.rank))
+        every = F.from_json(F.lit(json.dumps([{"key": r.key, "target": r.target, "rank": r.rank} for r in own])), "array<struct<key:string,target:string,rank:int>>")
+        hit = F.get(F.filter(every, lambda r: (F.endswith if name.endswith("Suffix") else F.startswith)(value, r["key"])), F.lit(0))
+        gives = hit["target"] if name.endswith("Suffix") else F.concat(hit["target"], F.substring(value, F.length(hit["key"]) + 1, F.lit(1 << 20)))
+        return F.when(hit.isNotNull(), F.struct(F.length(hit["key"]).alias("n"), (-hit["rank"]).alias("r"), gives.alias("target")))
+
+    exact("system", s, F.lit(True), "_system")
+    exact("uri", u, F.lit(True), "_uri")
+    exact("public", p, F.lit(True), "_public")
+    exact("public", p, F.col("prefer"), "_preferred")
+    first = F.least("_system", "_uri")
+    public = F.when(s.isNull(), F.col("_public")).otherwise(F.col("_preferred"))
+    best = lambda a, b: F.greatest(longest(a, s), longest(b, u))["target"]
+    return out.select(*ids.columns, F.coalesce(first["target"], best("rewriteSystem", "rewriteURI"), best("systemSuffix", "uriSuffix"), public["target"]).alias("target"))

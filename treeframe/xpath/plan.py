@@ -318,11 +318,19 @@ class Loop:
 
     def __init__(self, planner: Planner, df: DataFrame):
         self.planner, self.df, self.n = planner, df, 0
+        self.context, self.made = df, {}  # the rows without what is joined to them; what was joined, by node-set and aggregates
 
     def attach(self, e: tuple, **aggregates: Column) -> dict[str, Column]:
-        """Joins aggregates of a node-set, by context row; they are null where the set is empty."""
+        """Joins aggregates of a node-set, by context row; they are null where the set is empty. What is asked for again is there already."""
+        key = (repr(e), *(f"{k} {c}" for k, c in aggregates.items()))
+        if key not in self.made:
+            self.made[key] = self._attach(e, aggregates)
+        return self.made[key]
+
+    def _attach(self, e: tuple, aggregates: dict[str, Column]) -> dict[str, Column]:
         self.n += 1
-        rows = self.df.select("doc_id", *COLUMNS).dropDuplicates(list(_KEY))
+        # of the context alone, so that each plan holds it once, however many node-sets are attached
+        rows = self.context.select("doc_id", *COLUMNS).dropDuplicates(list(_KEY))
         names = {k: f"_v{self.n}_{k}" for k in aggregates}
         made = self.planner.nodeset(e, rows).groupBy("doc_id", "_k").agg(*(c.alias(names[k]) for k, c in aggregates.items()))
         made = made.withColumnsRenamed({"doc_id": "_jd", "_k": "_jk"})
