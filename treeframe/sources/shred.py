@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -38,18 +39,25 @@ def _shredder(parse: Callable[[str], list[list]], columns: list[str]) -> Callabl
             ids = batch.column(0).take(pa.array(owner))
             return pa.RecordBatch.from_arrays([ids, *(_column([r[i] for r in rows], c, kind) for c, i, kind in places)], names=["doc_id", *columns])
 
-        for batch in batches:
-            rows: list[list] = []
-            owner: list[int] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                made = parse(text) if text is not None else []
-                rows += made
-                owner += [i] * len(made)
-                if len(rows) >= _ROWS:
+        # rows hold no cycles, so reference counts free them; the collector would only scan them again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for batch in batches:
+                rows: list[list] = []
+                owner: list[int] = []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    made = parse(text) if text is not None else []
+                    rows += made
+                    owner += [i] * len(made)
+                    if len(rows) >= _ROWS:
+                        yield out()
+                        rows, owner = [], []
+                if rows:
                     yield out()
-                    rows, owner = [], []
-            if rows:
-                yield out()
+        finally:
+            if collects:
+                gc.enable()
 
     return run
 

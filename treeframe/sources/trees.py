@@ -24,11 +24,13 @@ class Tree:
         self.texts.append([])
 
     def _add(self, kind: str, prefix: str | None, local: str | None, ns: str | None, value: str | None, at: tuple[int, int]) -> list:
-        up = self.open[-1] if self.open else None
         n = len(self.rows)
-        row = [n, n, up[0] if up else None, up[3] + 1 if up else 0, self.children[-1] if up else 0, kind, prefix, local, ns, value, value, None, None, None, [*up[self.ANC], up[0]] if up else [], up[self.PATH] if up else "", up[self.LANG] if up else None, *at]
-        if up:
+        if self.open:
+            up = self.open[-1]
+            row = [n, n, up[0], up[3] + 1, self.children[-1], kind, prefix, local, ns, value, value, None, None, None, [*up[14], up[0]], up[15], up[16], *at]
             self.children[-1] += 1
+        else:
+            row = [n, n, None, 0, 0, kind, prefix, local, ns, value, value, None, None, None, [], "", None, *at]
         self.rows.append(row)
         return row
 
@@ -38,7 +40,7 @@ class Tree:
         above = self.open[-1][self.NSMAP] or {}
         row[self.NSMAP] = nsmap if nsmap is not None else above or None
         # bindings that differ from the parent's
-        row[self.NSOWN] = {k: v for k, v in (nsmap or {}).items() if above.get(k, "") != v and k != "xml"}
+        row[self.NSOWN] = {} if nsmap is above else {k: v for k, v in (nsmap or {}).items() if above.get(k, "") != v and k != "xml"}
         row[self.PATH] += f"/{prefix}:{local}" if prefix else f"/{local}"
         for p, name, _, value in attrs:
             if name == "lang" and p == "xml":
@@ -49,9 +51,9 @@ class Tree:
         row = self.open.pop()
         self.children.pop()
         row[self.LAST] = len(self.rows) - 1
-        row[self.SVAL] = "".join(self.texts.pop())
-        if self.texts:
-            self.texts[-1].append(row[self.SVAL])
+        row[self.SVAL] = held = "".join(self.texts.pop())
+        if held and self.texts:
+            self.texts[-1].append(held)
 
     def leaf(self, kind: str, value: str, at: tuple[int, int], name: str | None = None) -> None:
         self._add(kind, "" if name else None, name, "" if name else None, value, at)
@@ -81,9 +83,8 @@ class Lines:
         self.text, self.at, self.line, self.start = text, 0, 1, 0
 
     def mark(self, offset: int) -> tuple[int, int]:
-        n = self.text.count("\n", self.at, offset)
-        if n:
-            self.line += n
+        if self.text.find("\n", self.at, offset) >= 0:
+            self.line += self.text.count("\n", self.at, offset)
             self.start = self.text.rfind("\n", 0, offset) + 1
         self.at = offset
         return self.line, offset - self.start + 1

@@ -10,7 +10,10 @@ from treeframe.sources.trees import XML_NS, Lines, Tree
 _START = r":A-Z_a-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000EFFFF"
 NAME = rf"[{_START}][-.0-9·̀-ͯ‿-⁀{_START}]*"
 _ILLEGAL = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
-_MARKUP = re.compile(rf"<!--(?P<comment>.*?)-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?(?P<target>{NAME})(?:\s+(?P<data>.*?))?\?>|</(?P<close>{NAME})\s*>|<(?P<open>{NAME})(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
+_MARKUP = re.compile(rf"<!--(?P<comment>.*?)-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?(?P<target>{NAME})(?:\s+(?P<data>.*?))?\?>|</(?P<close>{NAME})\s*>", re.S)
+#: A start tag of any kind, without backtracking; and attributes that need no decoding.
+_OPEN = re.compile(rf"<({NAME.replace(']*', ']*+')})([^<>\"']*+(?:\"[^\"]*+\"[^<>\"']*+|'[^']*+'[^<>\"']*+)*+)>", re.S)
+_PLAIN = re.compile(rf"\s+({NAME})=\"([^\"<&\t\n]*)\"")
 _ATTR = re.compile(rf"(?P<gap>\s*)(?P<name>{NAME})\s*=\s*(?:\"(?P<dq>[^\"]*)\"|'(?P<sq>[^']*)')", re.S)
 _REF = re.compile(rf"&(?:#(\d+)|#x([0-9a-fA-F]+)|({NAME}));")
 _DECL = re.compile(r"<\?xml\s+version\s*=\s*(?:\"(1\.\d+)\"|'(1\.\d+)')(?:\s+encoding\s*=\s*(?:\"([A-Za-z][\w.\-]*)\"|'([A-Za-z][\w.\-]*)'))?(?:\s+standalone\s*=\s*(?:\"(yes|no)\"|'(yes|no)'))?\s*\?>")
@@ -39,6 +42,17 @@ def declaration(text: str) -> dict[str, str | None] | None:
     return {"version": m[1] or m[2], "encoding": m[3] or m[4], "standalone": m[5] or m[6]} if m else None
 
 
+class Scope:
+    """Namespace bindings, and the names that were resolved in them."""
+
+    __slots__ = ("bindings", "elements", "attributes")
+
+    def __init__(self, bindings: dict[str, str]):
+        self.bindings = bindings
+        self.elements: dict[str, tuple[str, str, str]] = {}
+        self.attributes: dict[str, tuple[str, str, str]] = {}
+
+
 class Reader:
     """Reads one document into a Tree. recover: note faults and go on, else raise the first."""
 
@@ -95,7 +109,7 @@ class Reader:
         self.entities: dict[str, str] = {}
         self.expanded = 0
         names: list[str] = []
-        scopes: list[dict[str, str]] = [{"xml": XML_NS}]
+        scopes: list[Scope] = [Scope({"xml": XML_NS})]
         root_seen = False
         at = m.end() if (m := _DECL.match(text)) else 0
         if not m and text.startswith("<?xml") and text[5:6].isspace():
@@ -120,7 +134,20 @@ class Reader:
                     self.fault("contentOutsideRoot", raw.strip()[:40], mark)
                 at = stop
                 continue
+            if names and text.startswith(closing := f"</{names[-1]}>", at):
+                names.pop(), scopes.pop(), tree.end()
+                at += len(closing)
+                continue
             mark = lines.mark(at)
+            m = _OPEN.match(text, at)
+            if m:
+                at = m.end()
+                empty = m[2].endswith("/")
+                self.element(tree, m[1], m[2][:-1] if empty else m[2], names, scopes, root_seen, mark)
+                root_seen = True
+                if empty:
+                    names.pop(), scopes.pop(), tree.end()
+                continue
             m = _MARKUP.match(text, at)
             if m is None:
                 if text.startswith("<!DOCTYPE", at) and not names and not root_seen:
@@ -131,7 +158,7 @@ class Reader:
                     tree.text("<", mark)
                 at += 1
                 continue
-            at, kind = m.end(), m.lastgroup
+            at = m.end()
             if m["comment"] is not None:
                 if "--" in m["comment"] or m["comment"].endswith("-"):
                     self.fault("doubleHyphenInComment", m["comment"][:40], mark)
@@ -145,7 +172,7 @@ class Reader:
                 if m["target"].lower() == "xml":
                     self.fault("reservedTarget", m["target"], mark)
                 tree.leaf("pi", m["data"] or "", mark, m["target"])
-            elif m["close"]:
+            else:
                 if m["close"] in names:
                     while names[-1] != m["close"]:
                         self.fault("unclosedElement", names[-1], mark)
@@ -153,19 +180,6 @@ class Reader:
                     names.pop(), scopes.pop(), tree.end()
                 else:
                     self.fault("unexpectedEndTag", m["close"], mark)
-            elif kind:
-                name = m["open"]
-                if not names and root_seen:
-                    self.fault("multipleRoots", name, mark)
-                if len(name) > self.limits.max_name:
-                    raise XMLFault("nameLimit", str(len(name)), mark)
-                if len(names) >= self.limits.max_depth:
-                    raise XMLFault("depthLimit", str(len(names)), mark)
-                root_seen = True
-                self.start(tree, name, m["attrs"], scopes, mark)
-                names.append(name)
-                if m["empty"]:
-                    names.pop(), scopes.pop(), tree.end()
         end = lines.mark(n)
         for name in reversed(names):
             self.fault("unclosedElement", name, end)
@@ -173,7 +187,44 @@ class Reader:
             self.fault("noRoot", "", end)
         return tree.finish()
 
-    def start(self, tree: Tree, name: str, raw: str, scopes: list[dict[str, str]], mark: tuple[int, int]) -> None:
+    def element(self, tree: Tree, name: str, raw: str, names: list[str], scopes: list[Scope], root_seen: bool, mark: tuple[int, int]) -> None:
+        if not names and root_seen:
+            self.fault("multipleRoots", name, mark)
+        if len(name) > self.limits.max_name:
+            raise XMLFault("nameLimit", str(len(name)), mark)
+        if len(names) >= self.limits.max_depth:
+            raise XMLFault("depthLimit", str(len(names)), mark)
+        self.start(tree, name, raw, scopes, mark)
+        names.append(name)
+
+    def start(self, tree: Tree, name: str, raw: str, scopes: list[Scope], mark: tuple[int, int]) -> None:
+        scope = scopes[-1]
+        found: list[tuple[str, str]] = []
+        parts = _PLAIN.split(raw) if raw else [""]
+        keys = parts[1::3]
+        if "xmlns" not in raw and not "".join(parts[::3]).strip() and len(set(keys)) == len(keys):
+            found = list(zip(keys, parts[2::3]))
+        else:
+            found = self.attributes(raw, mark)
+            own = {k.partition(":")[2]: v for k, v in found if k == "xmlns" or k.startswith("xmlns:")}
+            for p, uri in own.items():
+                if p == "xmlns" or (p == "xml") != (uri == XML_NS) or p and not uri:
+                    self.fault("namespaceConstraint", p, mark)
+            if own:
+                scope = Scope(scope.bindings | own)
+                found = [(k, v) for k, v in found if not (k == "xmlns" or k.startswith("xmlns:"))]
+        scopes.append(scope)
+        known = scope.attributes
+        attrs = [(*(known.get(k) or self.split(k, "", scope, known, mark)), v) for k, v in found]
+        if ":" in raw:
+            seen = [(ns, local) for _, local, ns, _ in attrs if ns]
+            if len(set(seen)) < len(seen):
+                self.fault("duplicateAttribute", "same expanded name", mark)
+        prefix, local, ns = scope.elements.get(name) or self.split(name, scope.bindings.get("", ""), scope, scope.elements, mark)
+        tree.start(prefix, local, ns, attrs, scope.bindings, mark)
+
+    def attributes(self, raw: str, mark: tuple[int, int]) -> list[tuple[str, str]]:
+        """Names and decoded values of any attributes, with their faults."""
         found: list[tuple[str, str]] = []
         at = 0
         for m in _ATTR.finditer(raw):
@@ -191,27 +242,20 @@ class Reader:
             found.append((m["name"], self.decode(value, mark, attribute=True)))
         if raw[at:].strip():
             self.fault("malformedAttribute", raw[at:].strip(), mark)
-        own = {k.partition(":")[2]: v for k, v in found if k == "xmlns" or k.startswith("xmlns:")}
-        for p, uri in own.items():
-            if p == "xmlns" or (p == "xml") != (uri == XML_NS) or p and not uri:
-                self.fault("namespaceConstraint", p, mark)
-        scope = scopes[-1] | own if own else scopes[-1]
-        scopes.append(scope)
+        return found
 
-        def split(k: str, default: str) -> tuple[str, str, str]:
-            p, colon, local = k.partition(":")
-            if not colon or not p or not local or ":" in local:
-                return "", k, default
-            if p not in scope:
-                self.fault("unboundPrefix", p, mark)
-            return p, local, scope.get(p, "")
-
-        attrs = [(*split(k, ""), v) for k, v in found if not (k == "xmlns" or k.startswith("xmlns:"))]
-        seen = [(ns, local) for _, local, ns, _ in attrs if ns]
-        if len(set(seen)) < len(seen):
-            self.fault("duplicateAttribute", "same expanded name", mark)
-        prefix, local, ns = split(name, scope.get("", ""))
-        tree.start(prefix, local, ns, attrs, scope, mark)
+    def split(self, k: str, default: str, scope: Scope, known: dict[str, tuple[str, str, str]], mark: tuple[int, int]) -> tuple[str, str, str]:
+        """Prefix, local name and namespace of a name; kept for the scope unless the prefix is unbound, which is a fault each time."""
+        p, colon, local = k.partition(":")
+        if not colon or not p or not local or ":" in local:
+            out = "", k, default
+        elif p not in scope.bindings:
+            self.fault("unboundPrefix", p, mark)
+            return p, local, ""
+        else:
+            out = p, local, scope.bindings[p]
+        known[k] = out
+        return out
 
     def doctype(self, text: str, at: int, mark: tuple[int, int]) -> int:
         """Skips the document type; its internal general entities are kept."""
