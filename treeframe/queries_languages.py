@@ -260,6 +260,21 @@ def html_fragments(spark, sf_dir):
     return emit.serialize_html(shred.read_html(docs, document=False))
 
 
+@query("""SELECT p_partkey::BIGINT AS doc_id, '<html><head></head><body>' || CASE p_partkey % 6
+ WHEN 0 THEN '<p>1<b>2<i>' || p_partkey || '</i></b><i>4</i>5</p>'
+ WHEN 1 THEN '<b>1</b><p><b>' || p_partkey || '</b>3</p>'
+ WHEN 2 THEN '<p><b>x</b></p><b>' || p_partkey || '</b>'
+ WHEN 3 THEN p_partkey || '<table><tr><td>y</td></tr></table>z'
+ WHEN 4 THEN '<a href="1">' || p_partkey || '</a><a href="2">y</a>z'
+ ELSE '<svg viewBox="0"><linearGradient></linearGradient>' || p_partkey || '</svg>' END || '</body></html>' AS text FROM part""")
+def html_repair(spark, sf_dir):
+    """Overlapping formatting, an unclosed element, stray content of a table, nested links and foreign names, read as the HTML Standard says."""
+    k = F.col("p_partkey")
+    cases = (text("<p>1<b>2<i>", k, "</b>4</i>5</p>"), text("<b>1<p>", k, "</b>3</p>"), text("<p><b>x</p>", k), text("<table><tr>", k, "<td>y</table>z"), text("<a href=1>", k, "<a href=2>y</a>z"), text("<svg viewbox=0><lineargradient/>", k, "</svg>"))
+    docs = table(spark, sf_dir, "part").select(k.cast("long").alias("doc_id"), variant("p_partkey", *cases).alias("html"))
+    return emit.serialize_html(shred.read_html(docs, repair=True))
+
+
 @query("""SELECT p_partkey::BIGINT AS page_id, list_extract(['html-unique-id', 'html-required-parent', 'html-required-parent'], (p_partkey % 4)::INTEGER) AS rule, list_extract([2, 1, 1], (p_partkey % 4)::INTEGER)::BIGINT AS n FROM part WHERE p_partkey % 4 > 0""")
 def html_faults(spark, sf_dir):
     """Planted faults: an id three times, an item outside of a list, a cell outside of a row."""

@@ -82,8 +82,9 @@ def read_xml(df: DataFrame, *, id_col: str = "doc_id", text: str = "xml", limits
     return _nodes(df, id_col, text, parse, columns)
 
 
-def read_html(df: DataFrame, *, id_col: str = "doc_id", text: str = "html", document: bool = True, columns: list[str] | None = None) -> DataFrame:
-    return _nodes(df, id_col, text, lambda s: html.read(s, document), columns)
+def read_html(df: DataFrame, *, id_col: str = "doc_id", text: str = "html", document: bool = True, repair: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """The node table of the HTML in a column. repair: reopen formatting, move content out of tables and name foreign elements as the HTML Standard does."""
+    return _nodes(df, id_col, text, lambda s: html.read(s, document, repair), columns)
 
 
 def faults(df: DataFrame, *, id_col: str = "doc_id", text: str = "xml", limits: xml.Limits = xml.Limits()) -> DataFrame:
