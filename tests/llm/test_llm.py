@@ -198,6 +198,19 @@ def test_quality_metrics_and_verdicts(spark):
     assert again.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in again.collect()} == kept
 
 
+def test_quality_limits_of_a_junk_source_are_pulled_toward_its_language(spark):
+    rnd = random.Random(8)
+    clean = [(i, prose(rnd, 60), "en", f"src{i % 3}", 0) for i in range(900)]
+    junk = [(1000 + i, "".join(w + ("| " if k % 10 <= i % 8 + 1 else " ") for k, w in enumerate(prose(rnd, 60).split())) if i % 5 else prose(rnd, 60), "en", "junk", 0) for i in range(300)]
+    df = spark.createDataFrame(clean + junk, DOCS)
+    bad = {r[0] for r in junk if "|" in r[1]}
+    floors = {**quality.FLOORS, "symbols": 20}
+    # alone, the source's own sketch admits what most of its documents hold
+    assert bad <= {r.doc_id for r in quality.keep_good(df, floors=floors).collect()}
+    kept = {r.doc_id for r in quality.keep_good(df, floors=floors, pull=1.5).collect()}
+    assert kept == {r[0] for r in clean + junk} - bad
+
+
 def test_quality_handles_null_groups_empty_tables_and_clashing_names(spark):
     rows = [(1, None, None, None, "x"), (None, "a b c d e f g h i j k", None, "s", "y")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, kept string")

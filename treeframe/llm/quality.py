@@ -80,8 +80,8 @@ def sketch(metrics: DataFrame) -> DataFrame:
     return metrics.select("lang", "source", pairs.alias("p")).select("lang", "source", "p.metric", bins.alias("bin")).groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketched: DataFrame, min_docs: int = MIN_DOCS, spread: float = SPREAD, floors: dict[str, int] = FLOORS) -> DataFrame:
-    """lang, source, _tf_limits (map of metric to threshold)."""
+def thresholds(sketched: DataFrame, min_docs: int = MIN_DOCS, spread: float = SPREAD, floors: dict[str, int] = FLOORS, pull: float | None = None) -> DataFrame:
+    """lang, source, max_<metric>. With pull, no group's threshold exceeds pull times its language's, nor that one pull times that of all."""
     floor = F.coalesce(*(F.when(F.col("metric") == k, F.lit(float(v))) for k, v in floors.items()))
     edge = F.when(F.col("bin") > 0, F.pow(F.lit(GAMMA), (F.col("bin") - 1).cast("double"))).otherwise(F.lit(0.0))
 
@@ -97,19 +97,22 @@ def thresholds(sketched: DataFrame, min_docs: int = MIN_DOCS, spread: float = SP
     lang = lang.withColumnsRenamed({"lang": "_lang", "metric": "_metric"})
     all_ = all_.withColumnRenamed("metric", "_metric_all")
     both = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]) & (own["metric"] == lang["_metric"])).join(all_, own["metric"] == all_["_metric_all"])
-    limit = F.when(F.col("n_own") >= min_docs, F.col("t_own")).when(F.col("n_lang") >= min_docs, F.col("t_lang")).otherwise(F.col("t_all"))
+    held = lambda c, above: F.col(c) if pull is None else F.least(F.col(c), pull * above)
+    of_lang = F.when(F.col("n_lang") >= min_docs, held("t_lang", F.col("t_all"))).otherwise(F.col("t_all"))
+    limit = F.when(F.col("n_own") >= min_docs, held("t_own", of_lang)).otherwise(of_lang)
     return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == k, limit)).alias(f"max_{k}") for k in floors))
 
 
-def judged(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str], min_docs: int = MIN_DOCS) -> DataFrame:
+def judged(df: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str], **limits_as) -> DataFrame:
     """The carried columns of df as struct _tf_row, the metrics as _tf_q, and booleans _tf_base and _tf_kept.
 
     The metrics are made once and written to the shared folder; the sketches and the verdicts both read them there.
+    limits_as (min_docs, spread, floors, pull) go to thresholds.
     """
     # each text's arrays stay in its row: memory is bounded by the longest text
     rows = df.select(F.struct(*(F.col(c) for c in carry)).alias("_tf_row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_tf_text"))
     metrics = materialize(measured(rows, "_tf_text").drop("_tf_text"), "quality-metrics")
-    limits = materialize(thresholds(sketch(metrics), min_docs).withColumnsRenamed({"lang": "_l", "source": "_s"}), "quality-limits")
+    limits = materialize(thresholds(sketch(metrics), **limits_as).withColumnsRenamed({"lang": "_l", "source": "_s"}), "quality-limits")
     joined = metrics.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     q = F.col("_tf_q")
     base = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
